@@ -105,9 +105,11 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (3, 1),
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs, then score; one pass, no shuffle.  docs must not have a column named score."""
+    """All columns of docs, then score (in place of an older column of that name); one pass, no shuffle."""
     from pyspark.sql import types as T
 
+    docs = docs.drop("score")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s = model.score([t.encode() for t in strings(b.column(text_col))])
