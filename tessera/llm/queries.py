@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import op1_packing, op3_token_files, op4_ngram_join, op5_winnowing, op6_substring_dedup, op8_quality, op9_shards, op10_token_counts
+from tessera.llm import op1_packing, op3_token_files, op4_ngram_join, op5_winnowing, op6_substring_dedup, op7_decontamination, op8_quality, op9_shards, op10_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_ngram_jaccard": op4_ngram_join.query,
         "op5_winnowing": op5_winnowing.query,
         "op6_substring_dedup": op6_substring_dedup.query,
+        "op7_decontamination": op7_decontamination.query,
         "op8_compression_quality": op8_quality.query,
         "op9_interleaved_shards": op9_shards.query,
         "op10_token_counts": op10_token_counts.query,
