@@ -122,11 +122,12 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Words:
     """The words of some documents: 64-bit hash, first byte and end byte of each, and each document's range of words."""
 
-    def __init__(self, data: np.ndarray, at: np.ndarray, lower: bool):
+    def __init__(self, data: np.ndarray, at: np.ndarray, lower: bool, split: np.ndarray | None = None):
+        """split: bytes at which a word is cut in two."""
         self.data, self.at = _LOWER[data] if lower else data, at
         word = ~_SPACE[data]
         begins = word.copy()
-        begins[1:] &= ~word[:-1]
+        begins[1:] &= ~word[:-1] if split is None else ~word[:-1] | split[1:]
         inner = at[:-1][at[:-1] < len(data)]
         begins[inner] = word[inner]  # a word doesn't go on in the next document
         self.start = np.flatnonzero(begins)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.common import chunks, only, table, utf8
-from tessera.llm.tokens import _PLAIN, CACHE_PIECES, distinct, tokenizer, vocabulary
+from tessera.llm.tokens import CACHE_PIECES, PLAIN, distinct, tokenizer, vocabulary
 
 LIMIT = 2048
 CHUNK = 4 << 20
@@ -71,7 +71,6 @@ class Counter:
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
         shown = dict(zip(kept, kept)) | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(kept))}
         self.byte = {b: chr(c) for b, c in shown.items()}
-        self.word: dict[str, int] = {}
         self.piece: dict[str, int] = {}
 
     def symbols(self, shown: str) -> int:
@@ -79,14 +78,6 @@ class Counter:
         parts = [x for x in (*shown[:-1], shown[-1] + self.suffix) if x in self.known]
         return len(parts) - merges(parts, self.rank) if len(parts) > 1 else len(parts)
 
-    def plain(self, word: str) -> int:
-        n = self.word.get(word)
-        if n is None:
-            if len(self.word) > CACHE_PIECES:
-                self.word.clear()
-            n = self.word[word] = self.symbols("".join(map(self.byte.__getitem__, word.encode()))) if word else 0
-        return n
-
     def any(self, text: str) -> int:
         """Tokens of any text without white space; the library normalises and splits it, special strings count one."""
         total = 0
@@ -106,8 +97,7 @@ class Counter:
         for w in pieces:
             n = have.get(w)
             if n is None:
-                m = _PLAIN.fullmatch(w)
-                n = have[w] = self.plain(m[1].lower()) + self.plain(m[2]) if m else self.any(w)
+                n = have[w] = self.symbols("".join(map(self.byte.__getitem__, w.encode()))) if PLAIN.fullmatch(w) else self.any(w)
             out.append(n)
         return out
 

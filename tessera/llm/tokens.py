@@ -1,7 +1,7 @@
-"""Token ids by the tokenizers library, over a cache of white-space separated pieces.
+"""Token ids by the tokenizers library, over a cache of pieces of text.
 
-The vocabulary drops white space and never joins across it, so the ids of a text are the ids of its pieces in
-order.  Texts are cut at U+0020 and U+0009 to U+000D only; everything else is left to the library.
+The vocabulary is in lower case, drops white space and never joins letters with punctuation, so the ids of a
+text are the ids of its pieces in order.  Everything beyond that cut is left to the library.
 """
 
 from __future__ import annotations
@@ -16,10 +16,14 @@ import numpy as np
 
 from tessera.llm.common import Words
 
-#: Pieces kept by each Python worker, about 250 bytes each.
-CACHE_PIECES = 500_000
-#: Letters of ASCII and Latin-1, then ASCII punctuation without the apostrophe: one word and at most one further piece.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
+#: Pieces kept by each Python worker, about 200 bytes each.
+CACHE_PIECES = 1_000_000
+#: A lower-case word of letters of ASCII and Latin-1.
+PLAIN = re.compile("[a-zß-öø-ÿ]+")
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -37,12 +41,25 @@ def tokenizer(path: str):
 
 
 def distinct(data: np.ndarray, at: np.ndarray) -> tuple[list[str], Words, np.ndarray]:
-    """The different pieces of some texts, all their pieces, and for each of these which one it is."""
-    all_ = Words(data, at, lower=False)
+    """The different pieces of some texts, all their pieces, and for each of these which one it is.
+
+    Pieces are words, cut where a letter meets ASCII punctuation, with ASCII letters in lower case unless a
+    further character follows that may be combined with them.  Texts that may hold special strings stay as they are.
+    """
+    split = None
+    if len(data) and b"<|" not in data.tobytes():
+        upper = (data >= 65) & (data <= 90)
+        upper[:-1] &= data[1:] < 128
+        data = data + (upper * np.uint8(32)).astype(np.uint8)
+        letter = _LETTER[data]
+        letter[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        split = _MARK[data]
+        split[0] = False
+        split[1:] &= letter[:-1]
+    all_ = Words(data, at, False, split)
     _, first, inverse = np.unique(all_.hash, return_index=True, return_inverse=True)
     raw = data.tobytes()
-    words = [raw[i:j].decode() for i, j in zip(all_.start[first].tolist(), all_.end[first].tolist())]
-    return words, all_, inverse
+    return [raw[i:j].decode() for i, j in zip(all_.start[first].tolist(), all_.end[first].tolist())], all_, inverse
 
 
 class Encoder:
@@ -53,45 +70,31 @@ class Encoder:
         words = self.tok.get_vocab()
         self.closing = np.zeros(max(words.values()) + 1, bool)
         self.closing[[i for w, i in words.items() if w.endswith("</w>")]] = True
-        self.piece: dict[str, bytes] = {"": b""}
-        self.word: dict[str, bytes] = {"": b""}
+        self.piece: dict[str, bytes] = {}
 
-    def _learn_words(self, words: list[str]) -> None:
-        """Plain lower-case words; a thousand of them are encoded as one text and cut after each closing symbol."""
-        groups = [words[i : i + 1000] for i in range(0, len(words), 1000)]
+    def _learn(self, pieces: list[str]) -> None:
+        """A thousand plain words are encoded as one text and cut after each closing symbol, others one by one."""
+        plain = [w for w in pieces if PLAIN.fullmatch(w)]
+        other = [w for w in pieces if not PLAIN.fullmatch(w)] if len(plain) < len(pieces) else []
+        groups = [plain[i : i + 1000] for i in range(0, len(plain), 1000)]
         for group, e in zip(groups, self.tok.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
             ends = (np.flatnonzero(self.closing[ids]) + 1).tolist()
             if len(ends) == len(group):
                 raw, i = ids.tobytes(), 0
                 for w, j in zip(group, ends):
-                    self.word[w] = raw[4 * i : 4 * j]
+                    self.piece[w] = raw[4 * i : 4 * j]
                     i = j
             else:
-                self._learn_one_by_one(group, self.word)
-
-    def _learn_one_by_one(self, pieces: list[str], into: dict[str, bytes]) -> None:
-        for w, e in zip(pieces, self.tok.encode_batch_fast(pieces, add_special_tokens=False)):
-            into[w] = array("I", e.ids).tobytes()
-
-    def _learn(self, new: list[str]) -> None:
-        if len(self.word) > CACHE_PIECES:
-            self.word = {"": b""}
-        plain = [(w, m[1].lower(), m[2]) for w in new if (m := _PLAIN.fullmatch(w))]
-        words = {x for _, a, b in plain for x in (a, b)}
-        fresh = [x for x in words if x not in self.word]
-        self._learn_words([x for x in fresh if x[0].isalpha()])
-        self._learn_one_by_one([x for x in fresh if not x[0].isalpha()], self.word)
-        word = self.word
-        self.piece.update((w, word[a] + word[b]) for w, a, b in plain)
-        done = {w for w, _, _ in plain}
-        self._learn_one_by_one([w for w in new if w not in done], self.piece)
+                other += group
+        for w, e in zip(other, self.tok.encode_batch_fast(other, add_special_tokens=False)):
+            self.piece[w] = array("I", e.ids).tobytes()
 
     def look_up(self, pieces: list[str]) -> list[bytes]:
         """The ids of each piece; new ones are learned."""
         new = [w for w in pieces if w not in self.piece]
         if len(self.piece) + len(new) > CACHE_PIECES:  # the cache starts again
-            self.piece, new = {"": b""}, pieces
+            self.piece, new = {}, pieces
         if new:
             self._learn(new)
         return list(map(self.piece.__getitem__, pieces))
