@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import op1_packing, op3_token_files, op4_ngram_join, op5_winnowing, op6_substring_dedup, op7_decontamination, op8_quality, op9_shards, op10_token_counts
+from tessera.llm import op1_packing, op2_log_bilinear, op3_token_files, op4_ngram_join, op5_winnowing, op6_substring_dedup, op7_decontamination, op8_quality, op9_shards, op10_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_packing.query,
+        "op2_log_bilinear": op2_log_bilinear.query,
         "op3_token_files": op3_token_files.query,
         "op4_ngram_jaccard": op4_ngram_join.query,
         "op5_winnowing": op5_winnowing.query,
