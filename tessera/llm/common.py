@@ -68,11 +68,12 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
 BROADCAST_IDS = 1_000_000
 
 
-def by_ids(rows: DataFrame, ids: DataFrame, n_ids: int, how: str) -> DataFrame:
+def by_ids(rows: DataFrame, ids: DataFrame, n_ids: int, how: str, key: str = "doc_id") -> DataFrame:
     """rows semi- or anti-joined with distinct ids (column doc_id): broadcast up to BROADCAST_IDS, else shuffled."""
     from pyspark.sql import functions as F
 
-    return rows.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids.hint("merge"), "doc_id", how)
+    ids = ids.select(F.col("doc_id").alias(key))
+    return rows.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids.hint("merge"), key, how)
 
 
 def strings(column: pa.Array) -> list[str]:

@@ -139,27 +139,33 @@ class Repeats:
         scratch.drop("windows", "shared", "blocks")
 
 
-def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_removed, kept (the words that stay, joined by one space), factors, of each row."""
-    found = Repeats(docs, id_col, text_col)
-    rows = found.docs
-    copied = found.copies.select("doc_id").distinct()
-    rest = by_ids(rows, copied, found.n_copies, "left_anti")
-    touched = by_ids(rest, found.spans.select("doc_id"), found.n_spans, "left_semi").join(found.spans, "doc_id")
-    clean = by_ids(rest, found.spans.select("doc_id"), found.n_spans, "left_anti")
-    clean = clean.withColumn("entries", F.lit(None).cast(found.spans.schema["entries"].dataType))
-    kind = "array<struct<start:int,words:int,ref_doc:bigint,ref_start:int>>"
+#: What parsing adds to a row.
+_ADDED = {"n_words": "bigint", "n_removed": "bigint", "kept": "string", "factors": "array<struct<start:int,words:int,ref_doc:bigint,ref_start:int>>"}
+
+
+def parsed(docs: DataFrame, found: Repeats, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All columns of docs with n_words, n_removed, kept (the words that stay, joined by one space) and factors, without
+    the copies of earlier documents (nothing of them stays)."""
+    from pyspark.sql import types as T
+
+    rows = docs.drop(*_ADDED, "_key", "_entries").withColumn("_key", F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)))
+    rows = by_ids(rows, found.copies.select("doc_id").distinct(), found.n_copies, "left_anti", "_key")
+    spans = found.spans.select(F.col("doc_id").alias("_key"), F.col("entries").alias("_entries"))
+    touched = by_ids(rows, found.spans.select("doc_id"), found.n_spans, "left_semi", "_key").join(spans, "_key")
+    clean = by_ids(rows, found.spans.select("doc_id"), found.n_spans, "left_anti", "_key").withColumn("_entries", F.lit(None).cast(spans.schema["_entries"].dataType))
+    rows = clean.unionByName(touched)
+    kept_columns = [f for f in rows.schema.fields if f.name not in ("_key", "_entries")]
+    schema = T.StructType(kept_columns + T._parse_datatype_string(", ".join(f"{k} {v}" for k, v in _ADDED.items())).fields)
     arrow = pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32()), ("ref_doc", pa.int64()), ("ref_start", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, at = utf8(b.column("text"))
-            entries, n, gone, kept, parts = b.column("entries"), [], [], [], []
+            data, at = utf8(b.column(text_col))
+            entries, n, gone, kept, parts = b.column("_entries"), [], [], [], []
             for i, j in chunks(at):
                 raw = data[at[i] : at[j]].tobytes()
                 for k in range(i, j):
-                    text = raw[at[k] - at[i] : at[k + 1] - at[i]]
-                    words = text.split()
+                    words = raw[at[k] - at[i] : at[k + 1] - at[i]].split()
                     n.append(len(words))
                     out = entries[k].as_py() or []
                     out = factors([e["start"] for e in out], [e["ref_doc"] for e in out], [e["ref_start"] for e in out])
@@ -171,11 +177,25 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     gone.append(n[-1] - len(words))
                     kept.append(b" ".join(words).decode())
                     parts.append([{"start": s, "words": w, "ref_doc": None if d == _NULL_ID else d, "ref_start": r} for s, w, d, r in out])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(parts, arrow)], ["doc_id", "n_words", "n_removed", "kept", "factors"])
+            own = [b.column(f.name) for f in kept_columns]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(parts, arrow)], schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_words, n_removed, kept, factors of each row."""
+    found = Repeats(docs, id_col, text_col)
+    rows = parsed(only(docs, doc_id=id_col, text=text_col), found).drop("text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    copies = found.copies.select(F.when(F.col("doc_id") != _NULL_ID, F.col("doc_id")).alias("doc_id"), "n_words", F.col("n_words").alias("n_removed"), F.lit("").alias("kept"), F.array().cast(_ADDED["factors"]).alias("factors"))
+    return rows.unionByName(copies)
+
 
-    parsed = clean.unionByName(touched).select("doc_id", "text", "entries").mapInArrow(run, f"doc_id long, n_words long, n_removed long, kept string, factors {kind}")
-    whole = found.copies.select("doc_id", "n_words", F.col("n_words").alias("n_removed"), F.lit("").alias("kept"), F.array().cast(kind).alias("factors"))
-    return parsed.unionByName(whole).withColumn("doc_id", F.when(F.col("doc_id") != _NULL_ID, F.col("doc_id")))
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with repeated words removed; where any were, the words that stay are joined by one space.  Rows of which
+    nothing stays are left out."""
+    rows = parsed(docs, Repeats(docs, id_col, text_col), id_col, text_col)
+    return rows.where("n_removed = 0 or kept <> ''").withColumn(text_col, F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col(text_col))).drop(*_ADDED)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
