@@ -4,7 +4,7 @@ import difflib
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,15 +72,23 @@ def close_matches(c: Column, names: list[str], n: int = 3, cutoff: float = 0.72)
     return F.pandas_udf(run, T.ArrayType(T.StringType()))(c)
 
 
-def hash_vector(tokens: Column, width: int = 384) -> Column:
-    """Signed feature hashing of tokens into a unit vector; JVM-side, one bucket at a time."""
+def hash_entries(tokens: Column, width: int) -> Column:
+    """Bucket and sign of each token: the first 32 bits of its hash, the remainder and the highest bit."""
     h = F.transform(tokens, lambda t: F.conv(F.substring(F.sha1(t.cast("binary")), 1, 8), 16, 10).cast("long"))
-    entries = F.transform(h, lambda x: F.struct((x % width).cast("int").alias("i"), F.when(F.shiftright(x, 31) % 2 == 0, 1.0).otherwise(-1.0).alias("s")))
-    vector = F.transform(
-        F.sequence(F.lit(0), F.lit(width - 1)),
-        lambda k: F.aggregate(F.filter(entries, lambda e: e["i"] == k), F.lit(0.0), lambda s, e: s + e["s"]),
-    )
-    return normalized(vector)
+    return F.transform(h, lambda x: F.struct((x % width).cast("int").alias("bucket"), F.when(F.shiftright(x, 31) % 2 == 0, 1.0).otherwise(-1.0).alias("sign")))
+
+
+def hash_vectors(df: DataFrame, id_: str, tokens: Column, width: int = 384) -> DataFrame:
+    """id, bucket, value of each non-zero entry of a unit vector by signed feature hashing."""
+    sums = df.select(id_, F.explode(hash_entries(tokens, width)).alias("e")).groupBy(id_, "e.bucket").agg(F.sum("e.sign").alias("s"))
+    norms = sums.groupBy(id_).agg(F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("n"))
+    return sums.where("s <> 0").join(norms, id_).select(id_, "bucket", (F.col("s") / F.col("n")).alias("value"))
+
+
+def dense(entries: DataFrame, id_: str, width: int) -> DataFrame:
+    """id, vector from entries; missing ones are 0."""
+    m = entries.groupBy(id_).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "value"))).alias("m"))
+    return m.select(id_, F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.coalesce(F.col("m")[k], F.lit(0.0))).alias("vector"))
 
 
 _NUMBER = r"(\d+(?:[.,]\d+)?)"
