@@ -14,7 +14,8 @@ A task returns a spanning forest of its links only, so rows stay in proportion t
 
 Equal sets are one class from the start, so thousands of copies cost one row each.  Null or empty texts have
 an empty set and link with nothing; fewer than five words make one shingle; rows that share an id are taken as
-one document with several texts; a null id belongs to its text's class.  An empty table gives no rows.
+one document with several texts; a row without id is joined like others but gives no component its id (ids of
+2 ** 62 and more stand for such rows within).  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ SHINGLE = 5
 LIGHT, VERIFY = 32, 64
 #: Documents of a block, pivots of a group, and columns of one matrix product.
 BLOCK, PIVOTS, COLUMNS = 256, 8, 8192
+_NO_ID = 1 << 62
 
 
 def needed(n: np.ndarray) -> np.ndarray:
@@ -177,7 +179,7 @@ def _links(docs: DataFrame, plans: DataFrame, scratch: Scratch) -> DataFrame:
     roots = groups.select(F.col("component_id").alias("doc_id"), "component_id").distinct()
     groups = scratch.table(groups.unionByName(roots).join(plans.select("doc_id", "n").distinct(), "doc_id"), "groups")
     ids = groups.select("doc_id").distinct()
-    texts = by_ids(docs.where("doc_id is not null"), ids, groups.count(), "left_semi")
+    texts = by_ids(docs, ids, groups.count(), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -223,13 +225,14 @@ def _links(docs: DataFrame, plans: DataFrame, scratch: Scratch) -> DataFrame:
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of each row."""
     scratch = Scratch(docs.sparkSession, "op4")
-    docs = only(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    docs = only(docs, doc_id=id_col, text=text_col)
+    docs = docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(F.lit(_NO_ID - 1)) + F.lit(_NO_ID)))
     sets = scratch.table(_sets(docs), "sets_of_all")
     keys = ["s1", "s2", "n"]
     firsts = sets.where("n > 0").groupBy(*keys).agg(F.min("doc_id").alias("first"))
     of = scratch.table(sets.where("n > 0").select("doc_id", *keys).join(firsts, keys).select("doc_id", "n", "first"), "classes")
     copies = of.where("doc_id <> first").select("doc_id").distinct()
-    own = by_ids(sets.where("n > 0 and doc_id is not null"), copies, copies.count(), "left_anti")
+    own = by_ids(sets.where("n > 0"), copies, copies.count(), "left_anti")
     tokens = own.select("doc_id", "n", F.posexplode("prefix").alias("pos", "token"))
     frequent = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     shared = tokens.join(frequent.hint("shuffle_hash"), "token")
@@ -237,7 +240,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     plans = scratch.table(plans, "plans")
     found = components(_links(docs, plans, scratch), scratch, "components").withColumnRenamed("doc_id", "first")
     of = of.join(found, "first", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "first").alias("component_id"))
-    return of.unionByName(sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    rows = of.unionByName(sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    return rows.withColumns({c: F.when(F.col(c) < _NO_ID, F.col(c)) for c in ("doc_id", "component_id")})
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
