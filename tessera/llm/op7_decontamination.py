@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of bytes other than white space and ASCII punctuation, with A-Z in lower case.  One pass counts
-in how many documents each GRAM-word sequence of an item occurs; the rarer half of an item's sequences are its
-seeds, however frequent, so an item that leaked often keeps seeds too.  A second pass aligns the item with the
+in how many documents each GRAM-word sequence of an item occurs; of those that occur, the rarer half (LEAST_SEEDS at
+least) are the item's seeds, however frequent, so an item that leaked often keeps seeds too.  A second pass aligns the item with the
 passage around each group of seeds and keeps the best score, in shares of the score of a whole copy.
 
 Items are read in blocks of at most BLOCK_BYTES of text (or one longer item) whose index every task holds;
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import Words, chunks, grams, only, signed, table, utf8
 
-GRAM = 3
+GRAM, LEAST_SEEDS = 3, 8
 BLOCK_BYTES = 4 << 20
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 #: A leak scores at least so much of what a whole copy scores.
@@ -86,12 +86,14 @@ class Index:
         self.seen[(self.kinds >> np.uint64(44)).astype(np.int64)] = True
 
     def seeds(self, frequency: dict[int, int]) -> None:
-        """Keeps the rarer half of each item's sequences."""
-        df = np.array([frequency.get(h, 0) for h in signed(self.hashes).tolist()])
+        """Keeps, of each item's sequences that occur at all, the rarer half, LEAST_SEEDS at least."""
+        df = np.array([frequency.get(h, 0) for h in signed(self.hashes).tolist()], np.int64)
         order = np.lexsort((self.place, df, self.item))
+        order = order[df[order] > 0]
         of = self.item[order]
         first = np.searchsorted(of, of)
-        keep = order[np.arange(len(of)) - first < (np.bincount(of)[of] + 1) // 2] if len(of) else order
+        most = np.maximum(LEAST_SEEDS, (np.bincount(of)[of] + 1) // 2) if len(of) else of
+        keep = order[np.arange(len(of)) - first < most]
         self._keep(self.hashes[keep], self.item[keep], self.place[keep])
 
     def hits(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,6 +101,8 @@ class Index:
         at, doc, got = [], [], []
         for n in self.sizes:
             g = words.grams(n)
+            if not len(self.kinds):
+                break
             k = np.flatnonzero(self.seen[(g >> np.uint64(44)).astype(np.int64)])
             k = k[self.kinds[np.minimum(np.searchsorted(self.kinds, g[k]), len(self.kinds) - 1)] == g[k]]
             d = np.searchsorted(words.doc, k, "right") - 1
@@ -106,6 +110,8 @@ class Index:
             at.append(k[inside])
             doc.append(d[inside])
             got.append(g[k[inside]])
+        if not at:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
         return np.concatenate(at), np.concatenate(doc), np.concatenate(got)
 
     def leaks(self, words: Words, least: float) -> Iterator[tuple[int, int, float, int, int]]:
