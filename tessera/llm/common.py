@@ -59,8 +59,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of rows that Spark hands to Python at a time, and bytes of text that are tokenised together.
+BATCH_BYTES, TOKEN_BYTES = 8 << 20, 2 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; its session hands Python BATCH_BYTES at a time where Spark's larger default would hold."""
+    if df.sparkSession.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b") == str(64 << 20):
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns under the operator's own names; further columns, clashing or not, stay out."""
+    small_batches(df)
     return df.select(*(df[c].alias(name) for name, c in columns.items()))
 
 

@@ -19,11 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.common import chunks, only, table, utf8
+from tessera.llm.common import TOKEN_BYTES, chunks, only, table, utf8
 from tessera.llm.tokens import CACHE_PIECES, PLAIN, distinct, tokenizer, vocabulary
 
 LIMIT = 2048
-CHUNK = 4 << 20
 
 
 def merges(symbols: list[str], rank: dict[tuple[str, str], int]) -> int:
@@ -120,7 +119,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "
         own = counter(path)
         for b in batches:
             data, at = utf8(b.column("text"))
-            n = [own.counts(data[at[i] : at[j]], at[i : j + 1] - at[i]) for i, j in chunks(at, CHUNK)]
+            n = [own.counts(data[at[i] : at[j]], at[i : j + 1] - at[i]) for i, j in chunks(at, TOKEN_BYTES)]
             n = np.concatenate(n) if n else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(at)), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.common import Scratch, chunks, lists, only, table, utf8
+from tessera.llm.common import TOKEN_BYTES, Scratch, chunks, lists, only, table, utf8
 from tessera.llm.op3_token_files import END_ID, with_ends
 from tessera.llm.tokens import crc, encoder, vocabulary
 
@@ -66,7 +66,7 @@ def cut(docs: DataFrame, path: str, sequence: int = SEQUENCE, end_id: int = END_
         own = encoder(path)
         for b in batches:
             data, at = utf8(b.column("text"))
-            for i, j in chunks(at, 4 << 20):
+            for i, j in chunks(at, TOKEN_BYTES):
                 ids, begin = with_ends(*own.ids(data[at[i] : at[j]], at[i : j + 1] - at[i]), end_id)
                 size = np.diff(begin)
                 n = -(-size // sequence)

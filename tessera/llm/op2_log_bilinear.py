@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, Words, chunks, mix, only, signed, table, utf8
+from tessera.llm.common import TOKEN_BYTES, Scratch, Words, chunks, mix, only, signed, table, utf8
 
 HEAD, CLASSES, ORDER, WIDTH = 95, 64, 4, 16
 KNOWN_WORDS = 1 << 18
@@ -58,7 +58,7 @@ def _counts(docs: DataFrame) -> DataFrame:
 
         for b in batches:
             data, at = utf8(b.column("text"))
-            for i, j in chunks(at, 4 << 20):
+            for i, j in chunks(at, TOKEN_BYTES):
                 words = Words(data[at[i] : at[j]], at[i : j + 1] - at[i], lower=True)
                 h, first, count = np.unique(words.hash, return_index=True, return_counts=True)
                 held.append((h, classes_of(words)[first], count))

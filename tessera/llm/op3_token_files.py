@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import Scratch, chunks, only, table, utf8
+from tessera.llm.common import TOKEN_BYTES, Scratch, chunks, only, table, utf8
 from tessera.llm.tokens import encoder, vocabulary
 
 MAGIC = b"TSPLANE1"
@@ -148,7 +148,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = END
                 writer = Writer(fs.open_output_stream(f"{where}/{name}"))
             data, at = utf8(b.column("text"))
             doc_ids = b.column("doc_id").to_pylist()
-            for i, j in chunks(at, 4 << 20):
+            for i, j in chunks(at, TOKEN_BYTES):
                 writer.add(doc_ids[i:j], *with_ends(*own.ids(data[at[i] : at[j]], at[i : j + 1] - at[i]), end_id))
         if writer:
             writer.close()

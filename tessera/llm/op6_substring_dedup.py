@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, by_ids, chunks, grams, lists, mix, only, powers, signed, table, utf8, worded
+from tessera.llm.common import Scratch, by_ids, chunks, grams, lists, mix, only, powers, signed, small_batches, table, utf8, worded
 
 WINDOW, GRAM = 20, 5
 _NULL_ID = -(1 << 63)
@@ -148,7 +148,7 @@ def parsed(docs: DataFrame, found: Repeats, id_col: str = "doc_id", text_col: st
     the copies of earlier documents (nothing of them stays)."""
     from pyspark.sql import types as T
 
-    rows = docs.drop(*_ADDED, "_key", "_entries").withColumn("_key", F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)))
+    rows = small_batches(docs).drop(*_ADDED, "_key", "_entries").withColumn("_key", F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)))
     rows = by_ids(rows, found.copies.select("doc_id").distinct(), found.n_copies, "left_anti", "_key")
     spans = found.spans.select(F.col("doc_id").alias("_key"), F.col("entries").alias("_entries"))
     touched = by_ids(rows, found.spans.select("doc_id"), found.n_spans, "left_semi", "_key").join(spans, "_key")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Words, chunks, grams, only, signed, table, utf8
+from tessera.llm.common import Words, chunks, grams, only, signed, small_batches, table, utf8
 
 GRAM, LEAST_SEEDS = 3, 8
 BLOCK_BYTES = 4 << 20
@@ -178,7 +178,7 @@ def mark(docs: DataFrame, items: DataFrame, least: float = LEAST, text_col: str
 
     items = only(items, item_id=item_id_col, text=item_text_col)
     kind = f"array<struct<item_id:{items.schema['item_id'].dataType.simpleString()},score:double,start:int,words:int>>"
-    docs = docs.drop("leaks").withColumn("leaks", F.array().cast(kind))
+    docs = small_batches(docs).drop("leaks").withColumn("leaks", F.array().cast(kind))
     schema = docs.schema
     for block in _item_blocks(items):
         index = Index(block)

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import only, strings, table
+from tessera.llm.common import only, small_batches, strings, table
 
 FIT_ROWS, FIT_DICTIONARY, FIT_BYTES = 2000, 800, 1 << 16
 DICTIONARY_BYTES, PIECE_BYTES, MOST_PIECES, LEVEL = 1 << 16, 512, 4000, 3
@@ -108,7 +108,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """All columns of docs, then score (in place of an older column of that name); one pass, no shuffle."""
     from pyspark.sql import types as T
 
-    docs = docs.drop("score")
+    docs = small_batches(docs.drop("score"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

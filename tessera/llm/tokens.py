@@ -17,7 +17,7 @@ import numpy as np
 from tessera.llm.common import Words
 
 #: Pieces kept by each Python worker, about 200 bytes each.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 400_000
 #: A lower-case word of letters of ASCII and Latin-1.
 PLAIN = re.compile("[a-zß-öø-ÿ]+")
 _LETTER = np.zeros(256, bool)
