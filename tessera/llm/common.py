@@ -88,6 +88,29 @@ def by_ids(rows: DataFrame, ids: DataFrame, n_ids: int, how: str, key: str = "do
     return rows.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids.hint("merge"), key, how)
 
 
+#: A key with more rows than this, and than this share of all rows, is joined by broadcast: HOT_KEYS keys at most.
+HOT_ROWS, HOT_KEYS = 2_000, 10_000
+
+
+def join_counted(rows: DataFrame, keys: DataFrame, key: str, how: str = "inner", count: str = "count", total: int | None = None) -> DataFrame:
+    """rows joined with one row for each key (a written table with the key's number of rows): no task gets all rows of a hot key.
+
+    Keys with more than 1 / HOT_KEYS of all rows, so HOT_KEYS of them at most, are broadcast to where their rows
+    are; only the others' rows are shuffled.
+    """
+    from pyspark.sql import functions as F
+
+    if total is None:
+        total = keys.agg(F.sum(count)).first()[0] or 0
+    least = max(HOT_ROWS, total // HOT_KEYS)
+    hot, cold = keys.where(F.col(count) > least).drop(count), keys.where(F.col(count) <= least).drop(count)
+    if hot.isEmpty():
+        return rows.join(cold.hint("shuffle_hash"), key, how)
+    here = rows.join(F.broadcast(hot), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold.hint("shuffle_hash"), key, how)
+    return here.unionByName(rest)
+
+
 def strings(column: pa.Array) -> list[str]:
     """Python strings; null as empty."""
     return pc.fill_null(column, "").to_pylist()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, by_ids, chunks, grams, lists, mix, only, powers, signed, small_batches, table, utf8, worded
+from tessera.llm.common import Scratch, by_ids, chunks, grams, join_counted, lists, mix, only, powers, signed, small_batches, table, utf8, worded
 
 WINDOW, GRAM = 20, 5
 _NULL_ID = -(1 << 63)
@@ -72,7 +72,7 @@ def _block_lists(docs: DataFrame) -> DataFrame:
 
 
 def _windows(texts: DataFrame) -> DataFrame:
-    """hash, doc_id, start of each window whose block is in the row's list ``shared``."""
+    """hash, doc_id, first start, further starts of each different window whose block is in the row's list ``shared``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -86,19 +86,27 @@ def _windows(texts: DataFrame) -> DataFrame:
                     h = words.hash[words.doc[k - i] : words.doc[k - i + 1]]
                     if len(h) < WINDOW:
                         continue
-                    start = np.flatnonzero(np.isin(blocks(h), flat[at[k] : at[k + 1]]))
-                    if len(start):
-                        found.append((signed(grams(h, WINDOW)[start]), np.full(len(start), ids[k], np.int64), start.astype(np.int32)))
+                    start = np.flatnonzero(np.isin(blocks(h), flat[at[k] : at[k + 1]])).astype(np.int32)
+                    if not len(start):
+                        continue
+                    w = grams(h, WINDOW)[start]
+                    order = np.argsort(w, kind="stable")
+                    w, start = w[order], start[order]
+                    new = np.ones(len(w), bool)
+                    new[1:] = w[1:] != w[:-1]
+                    sizes = np.diff(np.append(np.flatnonzero(new), len(w))) - 1
+                    found.append((signed(w[new]), np.full(len(sizes), ids[k], np.int64), start[new], start[~new], sizes))
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["hash", "doc_id", "start"])
+                    w, doc, first, again, sizes = (np.concatenate(x) for x in zip(*found))
+                    yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(doc), pa.array(first), lists(again, sizes, pa.int32())], ["hash", "doc_id", "start", "again"])
 
-    return texts.mapInArrow(run, "hash long, doc_id long, start int")
+    return texts.mapInArrow(run, "hash long, doc_id long, start int, again array<int>")
 
 
-def factors(start: list[int], ref_doc: list[int], ref_start: list[int]) -> list[tuple[int, int, int, int]]:
-    """Greedy factors (start, words, ref_doc, ref_start) from repeated windows in ascending order of start."""
+def factors(repeated: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Greedy factors (start, words, ref_doc, ref_start) from repeated windows (start, ref_doc, ref_start), ascending."""
     out: list[tuple[int, int, int, int]] = []
-    for s, d, r in zip(start, ref_doc, ref_start):
+    for s, d, r in repeated:
         if out:
             a, n, d0, r0 = out[-1]
             if d == d0 and s == a + n - WINDOW + 1 and r == r0 + s - a:
@@ -125,18 +133,23 @@ class Repeats:
         self.n_copies = copied.count()
         own = by_ids(lists_.select("doc_id", "blocks"), copied, self.n_copies, "left_anti")
         each = own.select("doc_id", F.explode("blocks").alias("block"))
-        often = each.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block")
-        shared = each.join(often.hint("shuffle_hash"), "block").groupBy("doc_id").agg(F.collect_set("block").alias("shared"))
+        often = scratch.table(each.groupBy("block").agg(F.count("*").alias("count")).where("count > 1"), "often")
+        shared = join_counted(each, often, "block").groupBy("doc_id").agg(F.collect_set("block").alias("shared"))
         shared = scratch.table(shared, "shared")
         texts = by_ids(docs, shared.select("doc_id"), shared.count(), "left_semi").join(shared, "doc_id")
         windows = scratch.table(_windows(texts), "windows")
         place = F.struct("doc_id", "start")
-        first = windows.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("hash", "first")
-        repeated = windows.join(first.hint("shuffle_hash"), "hash").where(F.struct("doc_id", "start") != F.col("first"))
-        entry = F.struct("start", F.col("first.doc_id").alias("ref_doc"), F.col("first.start").alias("ref_start"))
-        self.spans = scratch.table(repeated.groupBy("doc_id").agg(F.array_sort(F.collect_set(entry)).alias("entries")), "repeated")
+        first = windows.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("count"))
+        first = scratch.table(first.where("first <> last").select("hash", "first", "count"), "first")
+        found = join_counted(windows, first, "hash", "left").where("first is not null or size(again) > 0")
+        # the first place of all is no repeat itself; further ones of its own document are
+        own = F.col("first").isNull() | (F.struct("doc_id", "start") == F.col("first"))
+        starts = F.when(own, F.col("again")).otherwise(F.concat(F.array("start"), F.col("again")))
+        entry = F.struct(starts.alias("starts"), F.coalesce("first.doc_id", "doc_id").alias("ref_doc"), F.coalesce("first.start", "start").alias("ref_start"))
+        repeated = found.select("doc_id", entry.alias("e")).where("size(e.starts) > 0")
+        self.spans = scratch.table(repeated.groupBy("doc_id").agg(F.collect_list("e").alias("entries")), "repeated")
         self.n_spans = self.spans.count()
-        scratch.drop("windows", "shared", "blocks")
+        scratch.drop("windows", "first", "shared", "often", "blocks")
 
 
 #: What parsing adds to a row.
@@ -167,8 +180,8 @@ def parsed(docs: DataFrame, found: Repeats, id_col: str = "doc_id", text_col: st
                 for k in range(i, j):
                     words = raw[at[k] - at[i] : at[k + 1] - at[i]].split()
                     n.append(len(words))
-                    out = entries[k].as_py() or []
-                    out = factors([e["start"] for e in out], [e["ref_doc"] for e in out], [e["ref_start"] for e in out])
+                    of = {s: (e["ref_doc"], e["ref_start"]) for e in entries[k].as_py() or [] for s in e["starts"]}
+                    out = factors([(s, *of[s]) for s in sorted(of)])
                     if out:
                         mask = np.ones(len(words), bool)
                         for s, size, _, _ in out:

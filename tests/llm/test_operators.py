@@ -191,11 +191,12 @@ def test_ngram_join(docs, empty, pairs):
     assert op4_ngram_join.classes(empty).count() == 0
 
 
-@pytest.mark.parametrize("light", [1, 32])
-def test_ngram_join_of_large_groups(spark, monkeypatch, light):
+@pytest.mark.parametrize(("light", "hot"), [(1, 2000), (32, 2000), (32, 3)])
+def test_ngram_join_of_large_groups(spark, monkeypatch, light, hot):
     """Groups of near copies beyond a block, chains at the threshold, a passage that all share; also with heavy shingles only."""
     monkeypatch.setattr(op4_ngram_join, "LIGHT", light)
     monkeypatch.setattr(op4_ngram_join, "BLOCK", 16)
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     rng = random.Random(3)
     say = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
     passage, texts = say(30), []
@@ -262,7 +263,9 @@ def test_edited_neighbours(docs, empty, pairs, spark, monkeypatch):
 # -- 6 --------------------------------------------------------------------------------------------------------
 
 
-def test_repeats(docs, empty, pairs):
+@pytest.mark.parametrize("hot", [1, 2000])
+def test_repeats(docs, empty, pairs, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     one = docs.where("doc_id is null or doc_id <> 9").where("doc_id is not null or text is not null")
     rows = op6_substring_dedup.removed(one).collect()
     seen, want = set(), {}
@@ -282,7 +285,7 @@ def test_repeats(docs, empty, pairs):
 
 
 def test_factors_follow_one_reference():
-    assert op6_substring_dedup.factors([3, 4, 5, 9], [1, 1, 1, 1], [7, 8, 20, 30]) == [(3, 21, 1, 7), (5, 20, 1, 20), (9, 20, 1, 30)]
+    assert op6_substring_dedup.factors([(3, 1, 7), (4, 1, 8), (5, 1, 20), (9, 1, 30)]) == [(3, 21, 1, 7), (5, 20, 1, 20), (9, 20, 1, 30)]
 
 
 # -- 7 --------------------------------------------------------------------------------------------------------
@@ -344,7 +347,7 @@ def test_quality(spark, folder, docs, empty):
 # -- 9 --------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("rows_a_bucket", [3, 20_000])
+@pytest.mark.parametrize("rows_a_bucket", [3, 1000])
 def test_shards(spark, docs, empty, pairs, monkeypatch, rows_a_bucket):
     monkeypatch.setattr(op9_shards, "BUCKET_ROWS", rows_a_bucket)
     rows = op9_shards.shard(docs, 5).collect()
