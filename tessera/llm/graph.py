@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch
+from tessera.llm.common import Scratch, join_counted
 
 
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -21,10 +21,11 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             return now.select(F.col("u").alias("doc_id"), F.col("v").alias("component_id"))
         before = sums
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = scratch.table(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), f"{name}{k + 1}")
-        scratch.drop(f"{name}{k}")
+        least = scratch.table(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("count")), f"{name}{k}least")
+        large = join_counted(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # a document has few larger stars that it belongs to: no u is hot here
+        lower = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = scratch.table(small.unionByName(lower.select("u", F.col("m").alias("v"))).distinct(), f"{name}{k + 1}")
+        scratch.drop(f"{name}{k}", f"{name}{k}least")
         k += 1

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import Scratch, by_ids, grams, lists, mix, only, signed, table, worded
+from tessera.llm.common import Scratch, by_ids, grams, join_counted, lists, mix, only, signed, table, worded
 from tessera.llm.graph import components
 
 SHINGLE = 5
@@ -173,8 +173,8 @@ def _links(docs: DataFrame, plans: DataFrame, scratch: Scratch) -> DataFrame:
     pairs = pairs.groupBy("doc_id_a", "doc_id_b").agg(F.count("*").alias("shared"), F.min(F.when(F.col("l_a") < F.col("l_b"), F.col("least_a")).when(F.col("l_a") > F.col("l_b"), F.col("least_b")).otherwise(F.least("least_a", "least_b"))).alias("least"))
     near = pairs.where("shared >= least").select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
     heavy = plans.where("blocked").select("doc_id", F.explode("heavy").alias("token"))
-    first = heavy.groupBy("token").agg(F.min("doc_id").alias("b"))
-    chained = heavy.join(first, "token").select(F.col("doc_id").alias("a"), "b").where("a <> b").distinct()
+    first = scratch.table(heavy.groupBy("token").agg(F.min("doc_id").alias("b"), F.count("*").alias("count")), "first")
+    chained = join_counted(heavy, first, "token").select(F.col("doc_id").alias("a"), "b").where("a <> b").distinct()
     groups = components(near.unionByName(chained), scratch, "candidates")
     roots = groups.select(F.col("component_id").alias("doc_id"), "component_id").distinct()
     groups = scratch.table(groups.unionByName(roots).join(plans.select("doc_id", "n").distinct(), "doc_id"), "groups")
@@ -234,8 +234,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     copies = of.where("doc_id <> first").select("doc_id").distinct()
     own = by_ids(sets.where("n > 0"), copies, copies.count(), "left_anti")
     tokens = own.select("doc_id", "n", F.posexplode("prefix").alias("pos", "token"))
-    frequent = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    shared = tokens.join(frequent.hint("shuffle_hash"), "token")
+    frequent = scratch.table(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").withColumn("count", F.col("df")), "frequent")
+    shared = join_counted(tokens, frequent, "token")
     plans = _plans(shared.groupBy("doc_id", "n").agg(F.collect_list(F.struct("pos", "token", F.col("df"))).alias("entries")))
     plans = scratch.table(plans, "plans")
     found = components(_links(docs, plans, scratch), scratch, "components").withColumnRenamed("doc_id", "first")
