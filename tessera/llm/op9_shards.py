@@ -22,7 +22,7 @@ from tessera.llm.common import Scratch, table
 
 SHARDS = 24
 #: Rows that a bucket holds on average, and buckets at most (a bucket's count is one row of a small table).
-BUCKET_ROWS, MOST_BUCKETS = 20_000, 1 << 16
+BUCKET_ROWS, MOST_BUCKETS = 1000, 1 << 16
 
 
 def _ranked(rows: DataFrame, by: list[str], bucket: str, order: list[str], rank: str) -> DataFrame:
