@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import TOKEN_BYTES, Scratch, Words, chunks, mix, only, signed, table, utf8
+from tessera.llm.common import TOKEN_BYTES, Scratch, Words, chunks, mix, only, signed, small_batches, table, utf8
 
 HEAD, CLASSES, ORDER, WIDTH = 95, 64, 4, 16
 KNOWN_WORDS = 1 << 18
@@ -214,7 +214,7 @@ def _trained(docs: DataFrame, model: Model, turn: int) -> np.ndarray | None:
 
 def fit(docs: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame]:
     """A model of all rows of docs (column text), and their words' counts (hash, class, n)."""
-    counts = scratch.table(_counts(docs), "counts")
+    counts = scratch.table(_counts(small_batches(docs)), "counts")
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = docs.count()
     # the least count of a known word, from a histogram of counts in eighths of powers of two

@@ -22,7 +22,7 @@ from tessera.llm.common import table
 GRAM, WINDOW = 4, 8
 UNIT = r"[^\x20\x09-\x0D]{1,4}"
 #: Rows of a range of ids on average, and ranges at most (one small row each is broadcast).
-RANGE_ROWS, MOST_RANGES = 2048, 1_000_000
+RANGE_ROWS, MOST_RANGES = 512, 1_000_000
 _LAST = (1 << 31) - 1
 
 
