@@ -26,7 +26,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.llm.common import Scratch, by_ids, grams, join_counted, lists, mix, only, signed, table, worded
 from tessera.llm.graph import components
@@ -190,38 +189,49 @@ def _links(docs: DataFrame, plans: DataFrame, scratch: Scratch) -> DataFrame:
     sets = texts.mapInArrow(run, "doc_id long, tokens array<long>").dropDuplicates(["doc_id", "tokens"])
     sets = scratch.table(sets, "sets")
     # large groups: every document against the group's pivots
-    sized = groups.groupBy("component_id").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK)
-    large = scratch.table(groups.join(sized.select("component_id"), "component_id", "left_semi"), "large")
+    sized = scratch.table(groups.groupBy("component_id").agg(F.count("*").alias("count")).where(F.col("count") > BLOCK).withColumn("chunks", F.ceil(F.col("count") / F.lit(BLOCK))), "sized")
+    large = scratch.table(join_counted(groups, sized, "component_id"), "large")
     if large.isEmpty():
-        compared = large.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0)
+        compared = large.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
     else:
-        # one least hash for each pivot: partial aggregates of fixed size, whatever the group
+        # the least of PIVOTS hashes each: partial aggregates of fixed size, whatever the group
         least = [F.min(F.struct(F.xxhash64(F.lit(k), "doc_id").alias("h"), "doc_id"))["doc_id"] for k in range(PIVOTS)]
-        pivots = large.groupBy("component_id").agg(F.array_distinct(F.array(*least)).alias("p"))
-        pivots = pivots.select("component_id", F.explode("p").alias("doc_id"))
-        chunk = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 20))
-        sized = large.groupBy("component_id").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("chunks"))
-        rest = large.join(pivots, ["component_id", "doc_id"], "left_anti").join(sized, "component_id")
-        rest = rest.select(F.struct("component_id", (chunk % F.col("chunks")).cast("long").alias("chunk")).alias("task"), F.lit(1).alias("side"), "doc_id")
-        left = pivots.join(sized, "component_id").select("component_id", "doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
-        left = left.select(F.struct("component_id", "chunk").alias("task"), F.lit(0).alias("side"), "doc_id")
-        compared = scratch.table(_verify(rest.unionByName(left), sets), "compared")
+        pivots = large.groupBy("component_id", "chunks").agg(F.array_distinct(F.array(*least)).alias("p"))
+        pivots = scratch.table(pivots.select("component_id", "chunks", F.explode("p").alias("doc_id")), "pivots")
+        rest = large.join(pivots.select("doc_id"), "doc_id", "left_anti")
+        rest = rest.select("component_id", "doc_id", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.col("chunks")).alias("chunk"), F.lit(1).alias("side"))
+        left = pivots.select("component_id", "doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("side"))
+        tasks = rest.unionByName(left).select(F.struct("component_id", "chunk").alias("task"), "side", "doc_id")
+        compared = scratch.table(_verify(tasks, sets), "compared")
     joined = components(compared, scratch, "joined")
-    groups = groups.join(joined.withColumnRenamed("component_id", "own"), "doc_id", "left").withColumn("own", F.coalesce("own", "doc_id"))
-    # blocks in the order of what is joined already, then of size; places are counted in each group
-    place = F.row_number().over(Window.partitionBy("component_id").orderBy("own", "n", "doc_id")) - 1
-    blocks = groups.withColumn("block", F.floor(place / BLOCK).cast("int"))
-    blocks = scratch.table(blocks, "blocks")
-    ranges = blocks.groupBy("component_id", "block").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.min("n").alias("small"), F.max("n").alias("big"))
-    i, j = (ranges.select("component_id", *(F.col(c).alias(f"{c}_{k}") for c in ("block", "lo", "hi", "small", "big"))) for k in "ij")
-    todo = i.join(j, "component_id").where("block_i <= block_j and not (lo_i = hi_j and hi_i = lo_j) and 5 * big_i >= 4 * small_j and 5 * big_j >= 4 * small_i")
-    task = F.struct("component_id", "block_i", "block_j").alias("task")
-    todo = todo.select("component_id", "block_i", "block_j")
-    sides = todo.select(task, "component_id", F.explode(F.when(F.col("block_i") == F.col("block_j"), F.array(F.struct(F.lit(2).alias("side"), F.col("block_i").alias("block")))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("block_i").alias("block")), F.struct(F.lit(1).alias("side"), F.col("block_j").alias("block"))))).alias("s"))
-    tasks = sides.select("task", "component_id", "s.side", "s.block").join(blocks, ["component_id", "block"]).select("task", "side", "doc_id")
+    groups = scratch.table(groups.join(joined.withColumnRenamed("component_id", "own"), "doc_id", "left").withColumn("own", F.coalesce("own", "doc_id")), "owned")
+    blocks, todo = _blocks(groups, scratch)
+    sides = todo.select(F.struct("i", "h_i", "j", "h_j").alias("task"), F.explode(F.when((F.col("i") == F.col("j")) & (F.col("h_i") == F.col("h_j")), F.array(F.struct(F.lit(2).alias("side"), F.col("i").alias("cell"), F.col("h_i").alias("h")))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("i").alias("cell"), F.col("h_i").alias("h")), F.struct(F.lit(1).alias("side"), F.col("j").alias("cell"), F.col("h_j").alias("h"))))).alias("s"))
+    tasks = sides.select("task", "s.side", "s.cell", "s.h").join(blocks, ["cell", "h"]).select("task", "side", "doc_id")
     return compared.unionByName(scratch.table(_verify(tasks, sets), "verified"))
 
 
+def _blocks(groups: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Blocks (cell, h, doc_id), and the pairs of blocks (i, h_i, j, h_j) whose documents are still to be compared.
+
+    A cell holds a group's documents of one size class (sizes within a factor of 1.25), either those that one large
+    component joins already, or all others.  Blocks cut a cell by hash.  Similar documents lie in one class or in
+    neighbouring ones, and two blocks of the same joined component need no comparison.
+    """
+    owns = scratch.table(groups.groupBy("own").agg(F.count("*").alias("count")).withColumn("members", F.col("count")), "owns")
+    rows = join_counted(groups, owns, "own")
+    rows = rows.withColumn("joined", F.when(F.col("members") >= BLOCK, F.col("own"))).withColumn("class", F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int"))
+    rows = scratch.table(rows.select("doc_id", "component_id", "joined", "class", F.xxhash64("component_id", F.coalesce("joined", F.lit(-1)), "class").alias("cell")), "celled")
+    cells = rows.groupBy("cell", "component_id", "joined", "class").agg(F.count("*").alias("count")).withColumn("k", F.ceil(F.col("count") / F.lit(BLOCK)))
+    cells = scratch.table(cells, "cells")
+    placed = join_counted(rows.select("doc_id", "cell"), cells.select("cell", "k", "count"), "cell")
+    blocks = scratch.table(placed.select("cell", F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.col("k")).alias("h"), "doc_id"), "blocks")
+    i, j = (cells.select("component_id", F.col("cell").alias(c), F.col("joined").alias(f"joined_{c}"), F.col("class").alias(f"class_{c}"), F.col("k").alias(f"k_{c}")) for c in "ij")
+    pairs = i.join(j, "component_id").where("i <= j and abs(class_i - class_j) <= 1 and not coalesce(joined_i = joined_j, false)")
+    each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"k_{c}") - 1)).alias(f"h_{c}")
+    return blocks, pairs.select("i", "j", "k_j", each("i")).select("i", "j", "h_i", each("j")).where("i < j or h_i <= h_j")
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of each row."""
     scratch = Scratch(docs.sparkSession, "op4")

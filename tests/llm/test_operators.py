@@ -51,8 +51,6 @@ def test_best_fit_takes_the_fullest_bin_that_fits_and_closes_the_fullest():
     b = op1_packing.BestFit(10, 2)
     assert [b.place(n) for n in (6, 7, 3, 4)] == [(0, 0), (1, 0), (1, 7), (0, 6)]
     b = op1_packing.BestFit(10, 2)
-    assert [b.place(n) for n in (5, 6, 8, 4)] == [(0, 0), (1, 0), (2, 0), (3, 0)] or True
-    b = op1_packing.BestFit(10, 2)
     for n in (5, 6, 8):  # the third bin closes the one with 6
         b.place(n)
     assert b.open == 2 and sorted(k for k, v in b.bins.items() if v) == [2, 5]
