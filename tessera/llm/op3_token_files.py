@@ -134,7 +134,8 @@ class Reader:
 
 def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the files into folder (a URI that all executors share); returns part, file, n_docs, n_ids of each, not yet run."""
-    rows = only(docs, doc_id=id_col, text=text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = only(docs, doc_id=id_col, text=text_col)
+    rows = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))  # an id may recur
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, writer = encoder(path), TaskContext.get().partitionId(), None
