@@ -33,8 +33,8 @@ from tessera.llm.graph import components
 SHINGLE = 5
 #: A shingle is light in up to so many documents; a verification costs as much as so many join rows.
 LIGHT, VERIFY = 32, 64
-#: Documents of a block, pivots of a group, and columns of one matrix product.
-BLOCK, PIVOTS, COLUMNS = 256, 8, 8192
+#: Documents and shingles of a block, pivots of a group, and columns of one matrix product.
+BLOCK, BLOCK_TOKENS, PIVOTS, COLUMNS = 256, 400_000, 8, 8192
 _NO_ID = 1 << 62
 
 
@@ -84,24 +84,26 @@ def _plans(shared: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for doc, n, entries in zip(b.column("doc_id").to_pylist(), b.column("n").to_pylist(), b.column("entries").to_pylist()):
-                pos = np.array([e["pos"] for e in entries])
-                df = np.array([e["df"] for e in entries])
-                token = [e["token"] for e in entries]
+            column, sizes = b.column("entries"), b.column("n").to_numpy()
+            at = column.offsets.to_numpy() - column.offsets[0].as_py()
+            places, tokens, counts = (column.flatten().field(c).to_numpy() for c in ("pos", "token", "df"))
+            picked, least, blocked, light, heavy = [], [], [], [], []
+            for n, i, j in zip(sizes.tolist(), at.tolist(), at[1:].tolist()):
+                pos, df = places[i:j], counts[i:j]
                 top, base = int(longest(n)), n - int(needed(n))
                 ls = np.arange(1, top + 1)
                 inside = pos[None, :] < (base + ls)[:, None]
-                heavy = (inside & (df > LIGHT)).sum(1)
+                much = (inside & (df > LIGHT)).sum(1)
                 rows = (inside * np.where(df > LIGHT, 0, df - 1)).sum(1)
-                cost = np.where(ls > heavy, rows + VERIFY * rows / np.maximum(ls - heavy, 1), np.inf)
+                cost = np.where(ls > much, rows + VERIFY * rows / np.maximum(ls - much, 1), np.inf)
                 k = int(cost.argmin()) if np.isfinite(cost).any() else top - 1
-                light = [t for t, p, d in zip(token, pos, df) if d <= LIGHT and p < base + k + 1]
-                blocked = bool(heavy[-1] >= 0.75 * top)
-                out.append((doc, n, k + 1, max(1, k + 1 - int(heavy[k])), blocked, light, [t for t, d in zip(token, df) if d > LIGHT] if blocked else []))
-            cols = list(zip(*out)) or [[]] * 7
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], ["doc_id", "n", "l", "least", "blocked", "light", "heavy"])
+                picked.append(k + 1)
+                least.append(max(1, k + 1 - int(much[k])))
+                blocked.append(bool(much[-1] >= 0.75 * top))
+                light.append(tokens[i:j][(df <= LIGHT) & (pos < base + k + 1)])
+                heavy.append(tokens[i:j][df > LIGHT] if blocked[-1] else tokens[:0])
+            joined = [lists(np.concatenate(x) if x else tokens[:0], np.array([len(y) for y in x], np.int64), pa.int64()) for x in (light, heavy)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n"), pa.array(picked, pa.int32()), pa.array(least, pa.int32()), pa.array(blocked, pa.bool_()), *joined], ["doc_id", "n", "l", "least", "blocked", "light", "heavy"])
 
     return shared.mapInArrow(run, "doc_id long, n long, l int, least int, blocked boolean, light array<long>, heavy array<long>")
 
@@ -221,8 +223,9 @@ def _blocks(groups: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     owns = scratch.table(groups.groupBy("own").agg(F.count("*").alias("count")).withColumn("members", F.col("count")), "owns")
     rows = join_counted(groups, owns, "own")
     rows = rows.withColumn("joined", F.when(F.col("members") >= BLOCK, F.col("own"))).withColumn("class", F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int"))
-    rows = scratch.table(rows.select("doc_id", "component_id", "joined", "class", F.xxhash64("component_id", F.coalesce("joined", F.lit(-1)), "class").alias("cell")), "celled")
-    cells = rows.groupBy("cell", "component_id", "joined", "class").agg(F.count("*").alias("count")).withColumn("k", F.ceil(F.col("count") / F.lit(BLOCK)))
+    rows = scratch.table(rows.select("doc_id", "n", "component_id", "joined", "class", F.xxhash64("component_id", F.coalesce("joined", F.lit(-1)), "class").alias("cell")), "celled")
+    cells = rows.groupBy("cell", "component_id", "joined", "class").agg(F.count("*").alias("count"), F.sum("n").alias("tokens"))
+    cells = cells.withColumn("k", F.greatest(F.ceil(F.col("count") / F.lit(BLOCK)), F.ceil(F.col("tokens") / F.lit(BLOCK_TOKENS))))
     cells = scratch.table(cells, "cells")
     placed = join_counted(rows.select("doc_id", "cell"), cells.select("cell", "k", "count"), "cell")
     blocks = scratch.table(placed.select("cell", F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.col("k")).alias("h"), "doc_id"), "blocks")
