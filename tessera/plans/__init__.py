@@ -1,4 +1,4 @@
 """Registered queries."""
 
-from tessera.plans import graphs, knowledge, ordered, pipelines, retrieval, texts  # noqa: F401
+from tessera.plans import graphs, knowledge, ordered, pipelines, retrieval, statistics, texts  # noqa: F401
 from tessera.plans.registry import QUERIES, SQL  # noqa: F401
