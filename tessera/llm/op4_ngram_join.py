@@ -241,9 +241,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     docs = only(docs, doc_id=id_col, text=text_col)
     docs = docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(F.lit(_NO_ID - 1)) + F.lit(_NO_ID)))
     sets = scratch.table(_sets(docs), "sets_of_all")
-    keys = ["s1", "s2", "n"]
-    firsts = sets.where("n > 0").groupBy(*keys).agg(F.min("doc_id").alias("first"))
-    of = scratch.table(sets.where("n > 0").select("doc_id", *keys).join(firsts, keys).select("doc_id", "n", "first"), "classes")
+    some = sets.where("n > 0").select("doc_id", "n", F.struct("s1", "s2", "n").alias("key"))
+    firsts = scratch.table(some.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("count")), "firsts")
+    of = scratch.table(join_counted(some, firsts, "key").select("doc_id", "n", "first"), "classes")
     copies = of.where("doc_id <> first").select("doc_id").distinct()
     own = by_ids(sets.where("n > 0"), copies, copies.count(), "left_anti")
     tokens = own.select("doc_id", "n", F.posexplode("prefix").alias("pos", "token"))

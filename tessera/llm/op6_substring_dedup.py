@@ -125,9 +125,9 @@ class Repeats:
         docs = only(docs, doc_id=id_col, text=text_col)
         self.docs = docs = docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)))
         lists_ = scratch.table(_block_lists(docs), "blocks")
-        keys = ["s1", "s2", "n_words"]
-        firsts = lists_.where(f"n_words >= {WINDOW}").groupBy(*keys).agg(F.min("doc_id").alias("first"), F.count("*").alias("_n")).where("_n > 1")
-        copies = lists_.select("doc_id", *keys).join(firsts, keys).where("doc_id <> first")
+        whole = lists_.where(f"n_words >= {WINDOW}").select("doc_id", "n_words", F.struct("s1", "s2", "n_words").alias("key"))
+        firsts = whole.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("count")).where("count > 1")
+        copies = join_counted(whole, scratch.table(firsts, "firsts"), "key").where("doc_id <> first")
         self.copies = scratch.table(copies.select("doc_id", "n_words"), "copies")
         copied = self.copies.select("doc_id").distinct()
         self.n_copies = copied.count()
@@ -149,7 +149,7 @@ class Repeats:
         repeated = found.select("doc_id", entry.alias("e")).where("size(e.starts) > 0")
         self.spans = scratch.table(repeated.groupBy("doc_id").agg(F.collect_list("e").alias("entries")), "repeated")
         self.n_spans = self.spans.count()
-        scratch.drop("windows", "first", "shared", "often", "blocks")
+        scratch.drop("windows", "first", "firsts", "shared", "often", "blocks")
 
 
 #: What parsing adds to a row.
