@@ -1,29 +1,66 @@
-"""Connected components of links between documents, by alternating large and small stars."""
+"""Connected components of links between documents: up to ONE_TASK links in one task, more by alternating stars."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, join_counted
 
+#: Links (16 bytes each) that one task labels; their number is counted first.
+ONE_TASK = 500_000
+
+
+def least_labels(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of some links and the least id that each reaches."""
+    ids, inverse = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = inverse[: len(u)], inverse[len(u) :]
+    label = np.arange(len(ids))
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        for side in (a, b, label[a], label[b]):
+            np.minimum.at(new, side, least)
+        while (jumped := new[new]).tolist() != new.tolist():
+            new = jumped
+        if (new == label).all():
+            return ids, ids[label]
+        label = new
+
+
+def _in_one_task(links: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches if len(b)]
+        if parts:
+            ids, label = least_labels(*(np.concatenate(x) for x in zip(*parts)))
+            rest = ids != label
+            yield pa.RecordBatch.from_arrays([pa.array(ids[rest]), pa.array(label[rest])], ["doc_id", "component_id"])
+
+    return links.coalesce(1).mapInArrow(run, "doc_id long, component_id long")
+
 
-def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch, name: str, one_task: int | None = None) -> DataFrame:
     """doc_id, component_id (the least id reachable) of each id in links (columns a, b) that isn't the least itself.
 
     Each round is written to the shared folder; rounds grow with the logarithm of the longest chain.
     """
     links = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now, k, before = scratch.table(links, f"{name}0"), 0, None
+    if now.count() <= (ONE_TASK if one_task is None else one_task):
+        return scratch.table(_in_one_task(now), f"{name}1")
     while True:
         sums = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if sums == before or not sums[0]:
+        if sums == before:
             return now.select(F.col("u").alias("doc_id"), F.col("v").alias("component_id"))
         before = sums
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = scratch.table(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("count")), f"{name}{k}least")
         large = join_counted(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # a document has few larger stars that it belongs to: no u is hot here
+        # a document belongs to few larger stars: no u is hot here
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = scratch.table(small.unionByName(lower.select("u", F.col("m").alias("v"))).distinct(), f"{name}{k + 1}")

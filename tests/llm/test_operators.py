@@ -379,3 +379,29 @@ def test_token_counts_of_random_characters():
         t = "".join(rng.choice(chars) for _ in range(rng.randrange(60)))
         data = np.frombuffer(t.encode(), np.uint8)
         assert own.counts(data, np.array([0, len(data)])).tolist() == [len(ids_of(t))], t
+
+
+# -- components -----------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(("one_task", "hot"), [(10**6, 2000), (0, 2000), (0, 3)])
+def test_components(spark, monkeypatch, one_task, hot):
+    from tessera.llm.graph import components as label
+
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    rng = random.Random(4)
+    links = [(i, i + 1) for i in range(1000, 1060)] + [(5, i) for i in range(200, 260)] + [(rng.randrange(300, 700), rng.randrange(300, 700)) for _ in range(250)] + [(7, 7)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    want = {x: find(x) for x in list(parent) if find(x) != x}
+    rows = label(spark.createDataFrame(links, "a long, b long"), common.Scratch(spark, "graph"), "g", one_task).collect()
+    assert {r.doc_id: r.component_id for r in rows} == want and len(rows) == len(want)
+    assert label(spark.createDataFrame([], "a long, b long"), common.Scratch(spark, "graph"), "g", one_task).count() == 0
