@@ -197,8 +197,19 @@ def chunks(at: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]
         i = j
 
 
+#: Cached functions that hold vocabularies in a Python worker.
+CACHES: list = []
+
+
+def drop_caches() -> None:
+    """Frees what another operator's tasks have left in this worker."""
+    for cached in CACHES:
+        cached.cache_clear()
+
+
 def worded(column: pa.Array, lower: bool) -> Iterator[tuple[int, int, Words]]:
     """(first row, end row, words) of successive pieces of a text column."""
+    drop_caches()
     data, at = utf8(column)
     for i, j in chunks(at):
         yield i, j, Words(data[at[i] : at[j]], at[i : j + 1] - at[i], lower)

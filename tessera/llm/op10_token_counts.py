@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.common import TOKEN_BYTES, chunks, only, table, utf8
+from tessera.llm.common import CACHES, TOKEN_BYTES, chunks, only, table, utf8
 from tessera.llm.tokens import CACHE_PIECES, PLAIN, distinct, tokenizer, vocabulary
 
 LIMIT = 2048
@@ -111,6 +111,9 @@ def counter(path: str) -> Counter:
     return Counter(path)
 
 
+CACHES.append(counter)
+
+
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of each row; one pass, no shuffle."""
     rows = only(docs, doc_id=id_col, text=text_col)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, by_ids, chunks, grams, join_counted, lists, mix, only, powers, signed, small_batches, table, utf8, worded
+from tessera.llm.common import Scratch, by_ids, chunks, drop_caches, grams, join_counted, lists, mix, only, powers, signed, small_batches, table, utf8, worded
 
 WINDOW, GRAM = 20, 5
 _NULL_ID = -(1 << 63)
@@ -172,6 +172,7 @@ def parsed(docs: DataFrame, found: Repeats, id_col: str = "doc_id", text_col: st
     arrow = pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32()), ("ref_doc", pa.int64()), ("ref_start", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         for b in batches:
             data, at = utf8(b.column(text_col))
             entries, n, gone, kept, parts = b.column("_entries"), [], [], [], []

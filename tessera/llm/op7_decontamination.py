@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Words, chunks, grams, only, signed, small_batches, table, utf8
+from tessera.llm.common import Words, chunks, drop_caches, grams, only, signed, small_batches, table, utf8
 
 GRAM, LEAST_SEEDS = 3, 8
 BLOCK_BYTES = 4 << 20
@@ -157,6 +157,7 @@ def _frequencies(texts: DataFrame, index: Index) -> dict[int, int]:
     """Documents that hold each sequence; no more entries than the index has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         total = np.zeros(len(index.kinds), np.int64)
         for b in batches:
             data, at = utf8(b.column("text"))

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import only, small_batches, strings, table
+from tessera.llm.common import drop_caches, only, small_batches, strings, table
 
 FIT_ROWS, FIT_DICTIONARY, FIT_BYTES = 2000, 800, 1 << 16
 DICTIONARY_BYTES, PIECE_BYTES, MOST_PIECES, LEVEL = 1 << 16, 512, 4000, 3
@@ -111,6 +111,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     docs = small_batches(docs.drop("score"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         for b in batches:
             s = model.score([t.encode() for t in strings(b.column(text_col))])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*b.schema.names, "score"])

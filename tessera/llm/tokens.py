@@ -14,7 +14,7 @@ from functools import cache
 
 import numpy as np
 
-from tessera.llm.common import Words
+from tessera.llm.common import CACHES, Words
 
 #: Pieces kept by each Python worker, about 200 bytes each.
 CACHE_PIECES = 400_000
@@ -118,5 +118,8 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+CACHES += [tokenizer, encoder]
+
+
 def crc(data: bytes) -> int:
     return zlib.crc32(data)
