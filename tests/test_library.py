@@ -195,3 +195,16 @@ def test_ledgers(spark):
     ledger = spark.createDataFrame([(1,), (1,)], "id int")
     with pytest.raises(ValueError, match="repeated keys"):
         incremental.no_repeats(ledger, ["id"])
+
+
+def test_routing(spark):
+    from tessera.operators import routing
+
+    df = spark.createDataFrame([("Diet_and  Foraging",), ("Acknowledgements",), ("nothing",), ("INTRODUCTION",), (None,)], "chapter string")
+    rows = routing.routed(df, "chapter").collect()
+    assert [(r.skip, len(r.domains), r.max_claims) for r in rows] == [(False, 1, 4), (True, 0, 0), (True, 0, 0), (False, 6, 2), (True, 0, 0)]
+    assert rows[0].predicates == ["EATS_CATEGORY", "EATS_ITEM", "FORAGES_BY", "FORAGES_IN_STRATUM", "HAS_ECOLOGICAL_ROLE"]
+    claims = spark.createDataFrame([("Habitat", "INHABITS_BIOME"), ("Habitat", "EATS_ITEM")], "domain string, predicate string")
+    assert routing.allowed(claims, "predicate", "domain").count() == 1
+    assert sum(len(p.split()) for p in routing.PREDICATES.values()) == 74
+    assert routing.route_table(spark).count() == len(routing.ROUTES)
