@@ -1,17 +1,18 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of bytes other than white space and ASCII punctuation, with A-Z in lower case.  One pass counts
-in how many documents each GRAM-word sequence of an item occurs; of those that occur, the rarer half (LEAST_SEEDS at
-least) are the item's seeds, however frequent, so an item that leaked often keeps seeds too.  A second pass aligns the item with the
-passage around each group of seeds and keeps the best score, in shares of the score of a whole copy.
+Words are runs of bytes other than white space and ASCII punctuation, with A-Z in lower case.  Every GRAM-word
+sequence of an item is a seed, however frequent, so whole copies of an item take nothing from its edited or partial
+ones.  The item is aligned with the passage around each group of seeds, which holds every alignment through one of
+them that scores LEAST; a passage with too few of the item's words for that score is left out before.
 
 Items are read in blocks of at most BLOCK_BYTES of text (or one longer item) whose index every task holds;
-each block costs two passes over the documents.  Null or empty texts and items leak nothing; items with fewer
+each block costs one pass over the documents.  Null or empty texts and items leak nothing; items with fewer
 than GRAM words are searched for as they are; null ids stay; repeated rows get the same result each.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Words, chunks, drop_caches, grams, only, signed, small_batches, table, utf8
+from tessera.llm.common import Words, chunks, drop_caches, grams, only, small_batches, table, utf8
 
-GRAM, LEAST_SEEDS = 3, 8
+GRAM = 3
 BLOCK_BYTES = 4 << 20
+#: Pairs of a seed and an item that are grouped at a time; those of one document stay together.
+PAIRS = 1 << 20
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 #: A leak scores at least so much of what a whole copy scores.
 LEAST = 0.5
@@ -75,26 +78,13 @@ class Index:
             item.append(np.full(len(g), len(self.ids) - 1))
             place.append(np.arange(len(g)))
         join = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
-        self._keep(join(hashes, np.uint64), join(item, np.int64), join(place, np.int64))
-        self.sizes = sorted({min(GRAM, len(w)) for w in self.words})
-
-    def _keep(self, hashes: np.ndarray, item: np.ndarray, place: np.ndarray) -> None:
+        hashes, item, place = join(hashes, np.uint64), join(item, np.int64), join(place, np.int64)
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.item, self.place = hashes[order], item[order], place[order]
         self.kinds = np.unique(self.hashes)
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(self.kinds >> np.uint64(44)).astype(np.int64)] = True
-
-    def seeds(self, frequency: dict[int, int]) -> None:
-        """Keeps, of each item's sequences that occur at all, the rarer half, LEAST_SEEDS at least."""
-        df = np.array([frequency.get(h, 0) for h in signed(self.hashes).tolist()], np.int64)
-        order = np.lexsort((self.place, df, self.item))
-        order = order[df[order] > 0]
-        of = self.item[order]
-        first = np.searchsorted(of, of)
-        most = np.maximum(LEAST_SEEDS, (np.bincount(of)[of] + 1) // 2) if len(of) else of
-        keep = order[np.arange(len(of)) - first < most]
-        self._keep(self.hashes[keep], self.item[keep], self.place[keep])
+        self.sizes = sorted({min(GRAM, len(w)) for w in self.words})
 
     def hits(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word, document, hash) of each known sequence in some documents."""
@@ -117,8 +107,21 @@ class Index:
     def leaks(self, words: Words, least: float) -> Iterator[tuple[int, int, float, int, int]]:
         """(document, item, score, first word, words) of each leak."""
         at, doc, got = self.hits(words)
-        left, right = np.searchsorted(self.hashes, got, "left"), np.searchsorted(self.hashes, got, "right")
-        many = right - left
+        order = np.argsort(doc, kind="stable")
+        at, doc, got = at[order], doc[order], got[order]
+        left = np.searchsorted(self.hashes, got, "left")
+        many = np.searchsorted(self.hashes, got, "right") - left
+        total, i = np.cumsum(many), 0
+        while i < len(doc):
+            j = int(np.searchsorted(total, total[i] - many[i] + PAIRS, "right"))
+            if j < len(doc):
+                j = int(np.searchsorted(doc, doc[j], "left"))
+            j = max(j, int(np.searchsorted(doc, doc[i], "right")))
+            yield from self._aligned(words, least, at[i:j], doc[i:j], left[i:j], many[i:j])
+            i = j
+
+    def _aligned(self, words: Words, least: float, at: np.ndarray, doc: np.ndarray, left: np.ndarray, many: np.ndarray) -> Iterator[tuple[int, int, float, int, int]]:
+        """leaks() from the seeds of some documents: word, document, first entry of the index, entries."""
         entry = np.repeat(left, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         at, doc = np.repeat(at, many), np.repeat(doc, many)
         item, diagonal = self.item[entry], at - self.place[entry]
@@ -132,8 +135,12 @@ class Index:
         for a, z in zip(starts.tolist(), [*starts[1:].tolist(), len(item)]):
             d, i, n = int(doc[a]), int(item[a]), int(length[a])
             lo, hi = int(words.doc[d]), int(words.doc[d + 1])
-            p = max(lo, int(diagonal[a]) - n // 2)
-            score, s, e = align(self.words[i], words.hash[p : min(hi, int(diagonal[z - 1]) + n + n // 2)])
+            shift = max(0, math.ceil((MATCH - least) * n / -GAP))  # the gaps that a leak's score leaves room for
+            p = max(lo, int(diagonal[a]) - shift)
+            passage = words.hash[p : min(hi, int(diagonal[z - 1]) + n + shift)]
+            if np.isin(self.words[i], passage).sum() / n < least:  # no score exceeds the item's words that the passage holds
+                continue
+            score, s, e = align(self.words[i], passage)
             score /= MATCH * n
             if score >= least and score > best.get((d, i), (0,))[0]:
                 best[d, i] = (score, p - lo + s, e - s)
@@ -153,26 +160,6 @@ def _item_blocks(items: DataFrame) -> Iterator[list[tuple[object, str]]]:
         yield block
 
 
-def _frequencies(texts: DataFrame, index: Index) -> dict[int, int]:
-    """Documents that hold each sequence; no more entries than the index has."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        drop_caches()
-        total = np.zeros(len(index.kinds), np.int64)
-        for b in batches:
-            data, at = utf8(b.column("text"))
-            for i, j in chunks(at):
-                _, doc, got = index.hits(words_of(data[at[i] : at[j]], at[i : j + 1] - at[i]))
-                k = np.searchsorted(index.kinds, got)
-                each = np.unique(doc * len(index.kinds) + k)
-                total += np.bincount(each % len(index.kinds), minlength=len(index.kinds))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(signed(index.kinds[some])), pa.array(total[some])], ["hash", "n"])
-
-    counts = texts.mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-    return {r.hash: r.n for r in counts.collect()}
-
-
 def mark(docs: DataFrame, items: DataFrame, least: float = LEAST, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """All columns of docs, then leaks: item_id, score, start and words (in words of this module) of each leaked item."""
     from pyspark.sql import types as T
@@ -185,9 +172,9 @@ def mark(docs: DataFrame, items: DataFrame, least: float = LEAST, text_col: str
         index = Index(block)
         if not index.ids:
             continue
-        index.seeds(_frequencies(only(docs, text=text_col), index))
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+            drop_caches()
             for b in batches:
                 data, at = utf8(b.column(text_col))
                 found: dict[int, list[dict]] = {}

@@ -317,6 +317,20 @@ def test_leaks(spark, docs, empty, pairs):
     assert all(not r.leaks for r in op7_decontamination.mark(docs, items.limit(0)).collect())
 
 
+@pytest.mark.parametrize("copies", [1, 3, 200])
+def test_edited_and_partial_copies_beside_whole_ones(spark, copies):
+    item = [f"w{i}" for i in range(45)]
+    texts = {
+        "edited": [f"x{i}" if i % 5 == 4 else w for i, w in enumerate(item)],
+        "first": item[:30], "later": item[15:], "apart": item[:22] + [f"y{i}" for i in range(40)] + item[22:], "less": item[:20],
+    }
+    rows = [(k, " ".join(["before", *w, "after"])) for k, w in texts.items()] + [(f"whole{i}", " ".join(item)) for i in range(copies)]
+    found = op7_decontamination.mark(spark.createDataFrame(rows, "doc_id string, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
+    got = {r.doc_id: round(x.score, 6) for r in found.collect() for x in r.leaks}
+    edited = op7_decontamination.align(np.arange(45), np.where(np.arange(45) % 5 == 4, -1, np.arange(45)))[0] / 45
+    assert got == {"edited": round(edited, 6), "first": round(30 / 45, 6), "later": round(30 / 45, 6), "apart": round(25 / 45, 6)} | {f"whole{i}": 1.0 for i in range(copies)}
+
+
 def test_items_in_several_blocks(spark, docs, monkeypatch, pairs):
     monkeypatch.setattr(op7_decontamination, "BLOCK_BYTES", 1)
     items = spark.createDataFrame([(k, " ".join(pairs[k][1].split()[:30])) for k in (8, 9, 14)], "item_id long, text string")
