@@ -8,7 +8,8 @@ probability (c + 0.5) / (its class's sum of c + 0.5, and 0.5 for unseen words),
 
 Counts cover every training token: each task adds up its own, Spark sums them.  Training runs over all
 partitions: in each of ROUNDS rounds every task starts from the last round's parameters, takes one position in
-SPREAD of its documents (another one each round) and returns its parameters, whose mean by tokens goes on.
+ROUNDS of its documents (another one each round, so each position is a target once) and returns its parameters,
+whose mean by tokens goes on.
 
 Counts of the words above a threshold that leaves KNOWN_WORDS at most go to each task; all other words' counts
 are joined by a shuffle.  A null text counts as empty: its only token is the end.  Null ids count as the text ''
@@ -29,7 +30,7 @@ from tessera.llm.common import TOKEN_BYTES, Scratch, Words, chunks, mix, only, s
 
 HEAD, CLASSES, ORDER, WIDTH = 95, 64, 4, 16
 KNOWN_WORDS = 1 << 18
-ROUNDS, SPREAD, BATCH, NOISE, RATE = 2, 16, 512, 64, 0.1
+ROUNDS, BATCH, NOISE, RATE = 2, 512, 64, 0.1
 #: Counts that a task holds before it passes them on; parameters that one task averages.
 HELD, AVERAGED = 1_000_000, 256
 
@@ -178,8 +179,8 @@ class Model:
             at += x.size
 
 
-def _trained(docs: DataFrame, model: Model, turn: int) -> np.ndarray | None:
-    """The mean of the parameters that the tasks reach, by tokens; averaged in groups first, so the driver gets few."""
+def _trained(docs: DataFrame, model: Model, turn: int) -> tuple[int, np.ndarray | None]:
+    """Positions trained on, and the mean of the parameters that the tasks reach, by positions; averaged in groups first, so the driver gets few."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng([turn, part := TaskContext.get().partitionId()])
@@ -188,7 +189,7 @@ def _trained(docs: DataFrame, model: Model, turn: int) -> np.ndarray | None:
             data, at = utf8(b.column("text"))
             for i, j in chunks(at):
                 symbols, begin, _, _ = model.read(Words(data[at[i] : at[j]], at[i : j + 1] - at[i], lower=True))
-                mine = np.flatnonzero(mix(np.arange(len(symbols), dtype=np.uint64) + np.uint64(at[i])) % np.uint64(SPREAD) == turn)
+                mine = np.flatnonzero(mix(np.arange(len(symbols), dtype=np.uint64) + np.uint64(at[i])) % np.uint64(ROUNDS) == turn)
                 rest.append((symbols[mine], model.contexts(symbols, begin)[:, mine]))
                 if sum(len(s) for s, _ in rest) >= 16 * BATCH:
                     model.train(np.concatenate([s for s, _ in rest]), np.concatenate([c for _, c in rest], 1), rng, squares)
@@ -208,8 +209,8 @@ def _trained(docs: DataFrame, model: Model, turn: int) -> np.ndarray | None:
     schema = "part int, tokens long, parameters binary"
     means = docs.mapInArrow(run, schema).groupBy("part").applyInArrow(average, schema).collect()
     if not means:
-        return None
-    return np.average(np.stack([np.frombuffer(r.parameters, "<f4") for r in means]), axis=0, weights=[r.tokens for r in means])
+        return 0, None
+    return sum(r.tokens for r in means), np.average(np.stack([np.frombuffer(r.parameters, "<f4") for r in means]), axis=0, weights=[r.tokens for r in means])
 
 
 def fit(docs: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame]:
@@ -232,7 +233,7 @@ def fit(docs: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame]:
     arrays = [known.column(c).to_numpy() for c in ("hash", "n", "class")]
     model = Model(arrays[0].astype(np.int64).view(np.uint64), arrays[1].astype(np.int64), arrays[2].astype(np.int64), sums, ends, n + ends, v + (ends > 0))
     for turn in range(ROUNDS):
-        mean = _trained(docs, model, turn)
+        _, mean = _trained(docs, model, turn)
         if mean is not None:
             model.unpack(mean)
     return model, counts

@@ -105,6 +105,12 @@ def test_language_model(spark, docs, empty, pairs):
     assert all(r.n_known == 0 and math.isfinite(r.score) for r in op2_log_bilinear.score(docs, model, counts, scratch).collect())
 
 
+def test_every_position_is_trained_on_once(spark, docs, pairs):
+    model, _ = op2_log_bilinear.fit(docs.select("text"), common.Scratch(spark, "test2p"))
+    trained = sum(op2_log_bilinear._trained(docs.select("text"), model, turn)[0] for turn in range(op2_log_bilinear.ROUNDS))
+    assert trained == model.n == sum(len(WORD.findall(t)) + 1 for _, t in pairs)
+
+
 def test_model_probabilities_sum_to_one(spark, docs):
     model, _ = op2_log_bilinear.fit(docs.select("text"), common.Scratch(spark, "test2s"))
     symbols = np.arange(model.size, dtype=np.int16)
