@@ -43,6 +43,21 @@ def test_places_over_many_buckets(spark, monkeypatch):
     assert [r.place for r in rows] == list(range(len(rows)))
 
 
+@pytest.mark.parametrize("most", [1, 7, 10_000])
+def test_nearest_vectors_by_blocks_of_queries(spark, most):
+    value = lambda i, j: ((i * 31 + j * 17) % 13) / 13 - 0.4
+    vectors = {i: [value(i, j) for j in range(4)] for i in range(60)}
+    df = spark.createDataFrame(list(vectors.items()), "id long, v array<double>")
+    asked = df.where("id % 3 = 0").select(F.col("id").alias("q_id"), F.col("v").alias("q"))
+    got = {(r.q_id, r.id): (r["rank"], r.score) for r in retrieve.vector_top_k(asked, "q_id", "q", df, "id", "v", 5, most).collect()}
+    want = {}
+    for q in range(0, 60, 3):
+        scores = sorted((-round(sum(a * b for a, b in zip(vectors[q], v)), 6), i) for i, v in vectors.items())
+        want |= {(q, i): (n + 1, -s) for n, (s, i) in enumerate(scores[:5])}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in got)
+    assert retrieve.vector_top_k(asked.limit(0), "q_id", "q", df, "id", "v", 5, most).count() == 0
+
+
 def test_longest_first():
     got = windows.longest_first({"a": 5, "b": 4, "c": 3, "d": 3}, 2)
     assert sorted(sum(n for g, n in {"a": 5, "b": 4, "c": 3, "d": 3}.items() if got[g] == k) for k in (0, 1)) == [7, 8]
