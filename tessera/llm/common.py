@@ -16,16 +16,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 #: Bytes of text that are hashed at a time; a longer document is hashed alone.
 CHUNK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or in local mode a new one where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
         atexit.register(shutil.rmtree, found.removeprefix("file://"), True)
         spark.sparkContext.setCheckpointDir(found)
@@ -81,19 +83,37 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
 BROADCAST_IDS = 1_000_000
 
 
-def by_ids(rows: DataFrame, ids: DataFrame, n_ids: int, how: str, key: str = "doc_id") -> DataFrame:
-    """rows semi- or anti-joined with distinct ids (column doc_id): broadcast up to BROADCAST_IDS, else shuffled."""
+def by_ids(rows: DataFrame, ids: DataFrame, n_ids: int, how: str, keys: list[str]) -> DataFrame:
+    """rows joined with n_ids rows of few columns on keys: broadcast up to BROADCAST_IDS, else shuffled."""
     from pyspark.sql import functions as F
 
-    ids = ids.select(F.col("doc_id").alias(key))
-    return rows.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids.hint("merge"), key, how)
+    return rows.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids.hint("merge"), keys, how)
+
+
+#: Stands for an absent id in a key; the text's hash beside it tells such rows from those with this very id.
+NO_ID = -(1 << 63)
+
+
+def row_key(id_: Column, text: Column) -> tuple[Column, Column]:
+    """Two long columns without nulls that tell rows of different ids or texts apart, in the order of the ids."""
+    from pyspark.sql import functions as F
+
+    return F.coalesce(id_.cast("long"), F.lit(NO_ID)), F.xxhash64(id_.isNull(), F.coalesce(text, F.lit("")))
+
+
+def unused(columns: list[str], name: str) -> str:
+    """The name, with underscores in front as far as columns have it already (in any case of letters)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 #: A key with more rows than this, and than this share of all rows, is joined by broadcast: HOT_KEYS keys at most.
 HOT_ROWS, HOT_KEYS = 2_000, 10_000
 
 
-def join_counted(rows: DataFrame, keys: DataFrame, key: str, how: str = "inner", count: str = "count", total: int | None = None) -> DataFrame:
+def join_counted(rows: DataFrame, keys: DataFrame, key: str | list[str], how: str = "inner", count: str = "count", total: int | None = None) -> DataFrame:
     """rows joined with one row for each key (a written table with the key's number of rows): no task gets all rows of a hot key.
 
     Keys with more than 1 / HOT_KEYS of all rows, so HOT_KEYS of them at most, are broadcast to where their rows
@@ -108,10 +128,31 @@ def join_counted(rows: DataFrame, keys: DataFrame, key: str, how: str = "inner",
     if hot.isEmpty():
         return rows.join(cold.hint("shuffle_hash"), key, how)
     here = rows.join(F.broadcast(hot), key)
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold.hint("shuffle_hash"), key, how)
+    rest = rows.join(F.broadcast(hot.select(*([key] if isinstance(key, str) else key))), key, "left_anti").join(cold.hint("shuffle_hash"), key, how)
     return here.unionByName(rest)
 
 
+#: Rows of a range of numbered() on average.
+RANGE_ROWS = 50_000
+
+
+def numbered(rows: DataFrame, n_rows: int, order: list[str], scratch: Scratch, name: str, number: str) -> DataFrame:
+    """rows with their number (from 0) in an order without ties.
+
+    Rows are dealt by ranges of the whole order, so neither a hot value nor an odd one fills a range; a row's number
+    is the count of all lower ranges and its place in its own.
+    """
+    from pyspark.sql import functions as F
+    from pyspark.sql.window import Window
+
+    ranged = rows.repartitionByRange(max(1, n_rows // RANGE_ROWS), *order).withColumn("_range", F.spark_partition_id())
+    ranged = scratch.table(ranged, name)
+    below = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_below"))
+    placed = ranged.withColumn("_place", F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1)
+    return placed.join(counts, "_range").withColumn(number, F.col("_below") + F.col("_place")).drop("_range", "_below", "_place")
+
+
 def strings(column: pa.Array) -> list[str]:
     """Python strings; null as empty."""
     return pc.fill_null(column, "").to_pylist()
