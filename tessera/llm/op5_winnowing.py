@@ -6,23 +6,28 @@ equals, with its position.  Two texts that share WINDOW + GRAM - 1 consecutive u
 The first windows are filled up in front with hashes that never win, so a text's beginning counts too; a text
 with fewer units than GRAM is padded, so every text, empty ones too, has a fingerprint.
 
-Likeness is the Jaccard similarity of the two sets of kept hashes.  Null text counts as empty; null ids come
-before all others; rows that repeat an id come in the order of their texts' hashes, so each row still has one
-next document.  An empty table gives no rows.
+The guarantee is one on units, not on characters: a shared passage counts from its first whole word on.  Hashes are
+combined by doubling, not rolled, as array functions have no running state; each is cut to 32 bits in an entry.
+
+Likeness is the Jaccard similarity of the two sets of kept hashes.  The next document is found on ids alone; then each
+row meets its text's plan once, and only a text's needed beginning and its entries go to the row before.
+
+Null text counts as empty; null ids come before all others; rows that repeat an id come in the order of their texts'
+hashes, rows alike in id and text follow each other, so each row has one next document.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tessera.llm.common import table
+from tessera.llm.common import Scratch, by_ids, numbered, row_key, table
 
 GRAM, WINDOW = 4, 8
 UNIT = r"[^\x20\x09-\x0D]{1,4}"
-#: Rows of a range of ids on average, and ranges at most (one small row each is broadcast).
-RANGE_ROWS, MOST_RANGES = 512, 1_000_000
+KEY = ["id", "tie"]
+#: Rows alike in id and text that one task gives out.
+ALIKE = 10_000
 _LAST = (1 << 31) - 1
 
 
@@ -71,37 +76,45 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return kept(rows, "text", "entries").select("doc_id", shown(F.col("entries")).alias("fingerprint"))
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Window]:
-    """Rows within ranges of ids, each followed by the next range's first document (last = 1), and the window over a range.
-
-    The row after the last document is the first one again.
-    """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    low, high, n = docs.agg(F.min(id_col), F.max(id_col), F.count(F.lit(1))).first()
-    low, high = (0, 0) if low is None else (low, high)
-    ranges = max(1, min(MOST_RANGES, n // RANGE_ROWS))
-    width = (high - low) // ranges + 1
-    key = F.coalesce(F.col("doc_id"), F.lit(low - 1))
-    rows = rows.withColumn("key", key).withColumn("range", F.floor((F.col("key") - F.lit(low)) / F.lit(width)).cast("long"))
-    rows = rows.withColumn("range", F.greatest("range", F.lit(0)))
-    over = Window.orderBy("range")
-    firsts = rows.groupBy("range").agg(F.min("key").alias("key"))  # one row for each range: MOST_RANGES + 1 at most
-    before = F.coalesce(F.lag("range").over(over), F.max("range").over(Window.partitionBy()))
-    firsts = firsts.select("key", before.alias("of"))
-    order = F.struct(F.xxhash64("text"), "text")
-    tails = rows.select("doc_id", "key", "text").join(F.broadcast(firsts), "key").groupBy("of").agg(F.min_by("text", order).alias("text"))
-    tails = tails.select(F.lit(None).cast(rows.schema["doc_id"].dataType).alias("doc_id"), "text", F.lit(None).cast("long").alias("key"), F.col("of").alias("range"), F.lit(1).alias("last"))
-    all_ = rows.select("doc_id", "text", "key", "range", F.lit(0).alias("last")).unionByName(tails)
-    return all_.withColumn("tie", F.xxhash64("text")), Window.partitionBy("range").orderBy("last", "key", "tie")
+def next_documents(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """One row for each different (id, tie) of rows with its number of rows, its characters, and the (id, tie) after
+    it; the first one follows the last.  No texts are shuffled."""
+    ids = rows.groupBy(*KEY).agg(F.count("*").alias("count"), F.max(F.char_length("text")).cast("long").alias("n_chars"))
+    ids = scratch.table(ids, "ids")
+    n = ids.count()
+    at = scratch.table(numbered(ids, n, KEY, scratch, "by_id", "at"), "at")
+    before = at.select(F.col("id").alias("next_id"), F.col("tie").alias("next_tie"), ((F.col("at") + (n - 1)) % F.lit(max(n, 1))).alias("at"))
+    return at.join(before, "at").drop("at")
+
+
+def likened(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_chars, edited (the last quarter replaced by the next document's beginning), and the entries of the
+    text, of the edited one and of the next document, for each row."""
+    scratch = Scratch(docs.sparkSession, "op5")
+    id_, tie = row_key(F.col(id_col), F.col(text_col))
+    kind = docs.schema[id_col].dataType
+    rows = docs.select(id_.alias("id"), tie.alias("tie"), F.col(id_col).isNull().alias("absent"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    nexts = next_documents(rows, scratch)
+    plan = nexts.select(*KEY, "count", "n_chars").join(nexts.select(F.col("next_id").alias("id"), F.col("next_tie").alias("tie"), F.col("id").alias("of_id"), F.col("tie").alias("of_tie"), F.floor(F.col("n_chars") / 4).cast("int").alias("of_cut")), KEY)
+    plan = scratch.table(plan, "plan")
+    again = plan.where("count > 1")
+    alike = scratch.table(by_ids(rows, again, again.count(), "inner", KEY).dropDuplicates(KEY), "alike")
+    # texts and their entries meet the plan in one shuffle, and the next document's head and entries where they are
+    parts = [kept(rows, "text", "own").join(plan.where("count = 1").hint("shuffle_hash"), KEY), kept(alike, "text", "own")]
+    heads = [x.select(F.col("of_id").alias("id"), F.col("of_tie").alias("tie"), F.expr("left(text, of_cut)").alias("head"), F.col("own").alias("next")) for x in parts]
+    heads = heads[0].unionByName(heads[1]).hint("shuffle_hash")
+    once, alike = (x.join(heads, KEY).withColumn("cut", F.floor(F.col("n_chars") / 4).cast("int")) for x in parts)
+    edited = lambda head: F.concat(F.expr("left(text, n_chars - cut)"), head)
+    doc_id = F.when(~F.col("absent"), F.col("id")).cast(kind).alias("doc_id")
+    last = [x.select(doc_id, "n_chars", edited(F.col("head")).alias("edited"), "own", "next") for x in (once, alike)]
+    # of rows alike all but one are followed by themselves
+    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("count") - 2) / ALIKE)))
+    more = alike.select("*", chunk.alias("k"))
+    more = more.repartition("id", "tie", "k").withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(ALIKE).cast("long"), F.col("count") - 1 - F.col("k") * ALIKE))))
+    return last[0].unionByName(last[1]).unionByName(more.select(doc_id, "n_chars", edited(F.expr("left(text, cut)")).alias("edited"), "own", F.col("own").alias("next")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, window = with_next(table(spark, sf_dir, "documents"))
-    rows = rows.withColumn("n_chars", F.char_length("text")).withColumn("cut", F.floor(F.col("n_chars") / 4).cast("int"))
-    rows = rows.withColumn("next", F.lead("text").over(window))
-    edited = F.concat(F.expr("left(text, n_chars - cut)"), F.expr("coalesce(left(next, cut), '')"))
-    rows = rows.select("doc_id", "range", "last", "key", "tie", F.col("n_chars").cast("long").alias("n_chars"), "text", edited.alias("edited"))
-    rows = kept(kept(rows, "text", "own"), "edited", "other")
-    rows = rows.select("doc_id", "range", "last", "key", "tie", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), shown(F.col("own")).alias("fingerprint"), shown(F.col("other")).alias("edited_fingerprint"), hashes(F.col("own")).alias("own"), hashes(F.col("other")).alias("other"))
-    rows = rows.withColumn("next", F.lead("own").over(window)).where("last = 0")
+    rows = kept(likened(table(spark, sf_dir, "documents")), "edited", "other")
+    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), shown(F.col("own")).alias("fingerprint"), shown(F.col("other")).alias("edited_fingerprint"), hashes(F.col("own")).alias("own"), hashes(F.col("other")).alias("other"), hashes(F.col("next")).alias("next"))
     return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"))
