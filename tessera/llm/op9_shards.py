@@ -4,35 +4,22 @@ Rows are shuffled by a seeded hash within their source, ranked there, and put in
 rank (rank - 1/2) / rows of the source; equal parts of that order are the shards, so that each has the same
 mixture of sources and the shards' row counts differ by one at most (law ``rows``).
 
-Both rankings are counted in buckets: a row's rank is the count of all lower buckets plus its place in its own,
-so a source with a third of all rows is spread over as many tasks as its rows fill.  Only ids, sizes and sums
-are shuffled, no texts.
+Both orders are total (source and hash, then fraction and source; a row's own number breaks ties), and rows are
+ranked in ranges of the whole order: a source with a third of all rows, a million sources of one row, or one row
+repeated a million times fill as many tasks as their rows need.  Only ids, sizes and sums are shuffled, no texts.
 
-A null source is a source of its own, a null text has no bytes, null ids sort first, repeated rows get places
-next to each other; an empty table gives no rows.
+A null source is a source of its own, a null text has no bytes, rows without an id are ranked by their hashes like
+others, repeated rows get a place each; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tessera.llm.common import Scratch, table
+from tessera.llm.common import Scratch, join_counted, numbered, table
 
 SHARDS = 24
-#: Rows that a bucket holds on average, and buckets at most (a bucket's count is one row of a small table).
-BUCKET_ROWS, MOST_BUCKETS = 1000, 1 << 16
-
-
-def _ranked(rows: DataFrame, by: list[str], bucket: str, order: list[str], rank: str) -> DataFrame:
-    """rows with their 1-based rank within by, in the order of bucket, then of order."""
-    counts = rows.groupBy(*by, bucket).agg(F.count("*").alias("_n"))
-    below = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(*by, bucket, F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_below"))
-    placed = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*by, bucket).orderBy(*order)))
-    return placed.join(counts, [*by, bucket]).withColumn(rank, F.col("_below") + F.col("_place")).drop("_below", "_place", bucket)
-
 
 def shard(docs: DataFrame, shards: int = SHARDS, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, size, text_crc32, shard, slot of each row."""
@@ -42,18 +29,17 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = 42, id_col: str = "
         F.col(id_col).alias("doc_id"),
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.xxhash64(F.lit(seed), F.coalesce(F.col(source_col), F.lit("\0"))).alias("stratum"),
+        F.xxhash64(F.lit(seed), F.col(source_col).isNull(), F.col(source_col)).alias("stratum"),
         F.xxhash64(F.lit(seed), F.col(id_col), text).alias("key"),
+        F.monotonically_increasing_id().alias("row"),
     )
     rows = scratch.table(rows, "rows")
     total = rows.count()
-    buckets = min(MOST_BUCKETS, max(1, total // BUCKET_ROWS))
-    rows = rows.withColumn("_b", F.shiftrightunsigned("key", 33) % buckets)
-    rows = _ranked(rows, ["stratum"], "_b", ["key", "doc_id", "size"], "rank")
-    sizes = rows.groupBy("stratum").agg(F.count("*").alias("n"))
-    rows = rows.join(sizes, "stratum").withColumn("fraction", (F.col("rank") - 0.5) / F.col("n"))
-    rows = rows.withColumn("_all", F.lit(0)).withColumn("_b", F.floor(F.col("fraction") * buckets))
-    rows = _ranked(rows, ["_all"], "_b", ["fraction", "stratum"], "rank").withColumn("at", F.col("rank") - 1)
+    rows = numbered(rows, total, ["stratum", "key", "row"], scratch, "by_source", "place")
+    sizes = rows.groupBy("stratum").agg(F.count("*").alias("count"), F.min("place").alias("lowest"))
+    rows = join_counted(rows, scratch.table(sizes.withColumn("n", F.col("count")), "sizes"), "stratum", total=total)
+    rows = rows.withColumn("fraction", (F.col("place") - F.col("lowest") + 0.5) / F.col("n")).drop("place", "lowest", "n", "key")
+    rows = numbered(rows, total, ["fraction", "stratum", "row"], scratch, "by_fraction", "at")
     # shard s takes the places floor(s * total / shards) and on
     own = F.floor(((F.col("at") + 1) * shards - 1) / F.lit(total)).cast("int")
     first = F.floor(F.col("shard").cast("long") * total / F.lit(shards))
