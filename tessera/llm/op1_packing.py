@@ -1,9 +1,10 @@
 """Best-fit packing of documents into training sequences.
 
 One pass encodes each document, ends it with an end id and cuts only what is longer than a sequence.  The
-pieces' sizes (no ids) are then dealt to tasks of PIECES_A_TASK pieces, and each task packs its own online: a
-bitset over free space finds the open bin that a piece fills best; at most OPEN_BINS stay open, and the fullest
-closes first.  Pieces come in falling size, equal ones by id, so a repeated attempt gives the same bins.
+pieces' sizes (no ids), written with a number each, are then dealt by it to tasks of PIECES_A_TASK pieces, and each
+task packs its own online: a bitset over free space finds the open bin that a piece fills best; at most OPEN_BINS
+stay open, and the fullest closes first.  Pieces come in falling size, equal ones by number, so a repeated attempt
+gives the same bins.
 
 Null text counts as empty (one piece that holds the end id).  Null ids and repeated rows are packed like others.
 """
@@ -59,11 +60,12 @@ class BestFit:
 
 
 def cut(docs: DataFrame, path: str, sequence: int = SEQUENCE, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 (and ids) of each piece; one pass over the texts."""
+    """doc_id, piece, start, length, ids_crc32, row (a number for each, fixed once this is written) and, if wanted,
+    ids of each piece; one pass over the texts."""
     rows = only(docs, doc_id=id_col, text=text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own, made = encoder(path), TaskContext.get().partitionId() << 33
         for b in batches:
             data, at = utf8(b.column("text"))
             for i, j in chunks(at, TOKEN_BYTES):
@@ -76,20 +78,21 @@ def cut(docs: DataFrame, path: str, sequence: int = SEQUENCE, end_id: int = END_
                 length = np.minimum(sequence, size[doc] - start)
                 raw, first = memoryview(ids.tobytes()), begin[:-1][doc] + start
                 sums = [crc(raw[4 * a : 4 * (a + k)]) for a, k in zip(first.tolist(), length.tolist())]
-                out = [b.column("doc_id").take(pa.array(doc + i)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(sums, pa.int64())]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+                out = [b.column("doc_id").take(pa.array(doc + i)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(sums, pa.int64()), pa.array(made + np.arange(len(doc)))]
+                made += len(doc)
+                names = ["doc_id", "piece", "start", "length", "ids_crc32", "row"]
                 yield pa.RecordBatch.from_arrays(out + [lists(ids.view(np.int32), length, pa.int32())] * with_ids, names + ["ids"] * with_ids)
 
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long"
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, row long"
     return rows.mapInArrow(run, schema + ", ids array<int>" * with_ids)
 
 
 def pack(pieces: DataFrame, n_pieces: int, sequence: int = SEQUENCE, open_bins: int = OPEN_BINS) -> DataFrame:
-    """The pieces with sequence_id and offset; n_pieces, their number, decides how many tasks pack them."""
+    """The pieces (a written table) with sequence_id and offset; n_pieces, their number, decides how many tasks pack them."""
     from pyspark.sql import types as T
 
     tasks = max(1, -(-n_pieces // PIECES_A_TASK))
-    dealt = pieces.repartition(tasks, "doc_id", "piece").sortWithinPartitions(pieces.length.desc(), "doc_id", "piece")
+    dealt = pieces.repartition(tasks, "row").sortWithinPartitions(pieces.length.desc(), "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, bins = TaskContext.get().partitionId(), BestFit(sequence, open_bins)
@@ -104,7 +107,7 @@ def pack(pieces: DataFrame, n_pieces: int, sequence: int = SEQUENCE, open_bins:
 def pack_documents(docs: DataFrame, path: str, sequence: int = SEQUENCE, open_bins: int = OPEN_BINS) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "op1")
     pieces = scratch.table(cut(docs, path, sequence), "pieces")
-    return pack(pieces, pieces.count(), sequence, open_bins)
+    return pack(pieces, pieces.count(), sequence, open_bins).drop("row")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
