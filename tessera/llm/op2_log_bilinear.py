@@ -1,15 +1,18 @@
 """Language-model scores: a log-bilinear model trained with noise-contrastive estimation.
 
-Tokens are words (A-Z in lower case) and one end for each document.  The model's symbols are the HEAD most
-frequent words, the end, and CLASSES classes of all other words by their last bytes.  A context is the sum of
-the last ORDER symbols' vectors, each scaled by its distance's diagonal; a matrix product with the output
-vectors, plus a bias, gives the symbols' normalised log-probabilities.  A word within a class has the
-probability (c + 0.5) / (its class's sum of c + 0.5, and 0.5 for unseen words), so the whole is normalised.
+Tokens are words (A-Z in lower case) and one end for each document.  The HEAD most frequent words, the end and
+CLASSES classes of all other words (by their last bytes) are the model's first choice; within each class the
+SLOTS - 1 most frequent words and one slot for all its further words are the second.  So some sixteen thousand
+words have vectors of their own, as contexts and as targets.  A context is the sum of the last ORDER symbols'
+vectors, each scaled by its distance's diagonal; matrix products with the output vectors of the first choice and of
+the token's class, plus biases, give normalised log-probabilities.  A further word of a class has the probability
+(c + 0.5) / (their sum of c + 0.5, and 0.5 for unseen words) within its slot, so the whole is normalised.
 
 Counts cover every training token: each task adds up its own, Spark sums them.  Training runs over all
 partitions: in each of ROUNDS rounds every task starts from the last round's parameters, takes one position in
 ROUNDS of its documents (another one each round, so each position is a target once) and returns its parameters,
-whose mean by tokens goes on.
+whose mean by tokens goes on.  Means are taken in groups of AVERAGED, group upon group, so that no task and not the
+driver holds more.
 
 Counts of the words above a threshold that leaves KNOWN_WORDS at most go to each task; all other words' counts
 are joined by a shuffle.  A null text counts as empty: its only token is the end.  Null ids count as the text ''
@@ -28,11 +31,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import TOKEN_BYTES, Scratch, Words, chunks, mix, only, signed, small_batches, table, utf8
 
-HEAD, CLASSES, ORDER, WIDTH = 95, 64, 4, 16
+HEAD, CLASSES, SLOTS, ORDER, WIDTH = 31, 128, 128, 3, 16
 KNOWN_WORDS = 1 << 18
-ROUNDS, BATCH, NOISE, RATE = 2, 512, 64, 0.1
+ROUNDS, BATCH, NOISE, SLOT_NOISE, RATE = 1, 1024, 32, 2, 0.1
 #: Counts that a task holds before it passes them on; parameters that one task averages.
-HELD, AVERAGED = 1_000_000, 256
+HELD, AVERAGED = 1_000_000, 16
 
 
 def classes_of(words: Words) -> np.ndarray:
@@ -73,32 +76,69 @@ def _counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "hash long, class short, n long").groupBy("hash", "class").agg(F.sum("n").alias("n"))
 
 
+def _step(p: np.ndarray, squares: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
+    """An adaptive step on some rows of a parameter; a row that occurs often gets its sum."""
+    order = np.argsort(rows, kind="stable")
+    sorted_ = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+    rows, g = sorted_[first], np.add.reduceat(gradient[order], first, axis=0)
+    s = squares[rows] + g * g
+    squares[rows] = s
+    p[rows] -= RATE * g / np.sqrt(s)
+
+
 class Model:
-    """What scoring needs: the known words' counts and symbols, each class's sum, and the parameters."""
+    """What scoring needs: the known words' counts and symbols, each class's sum, and the parameters.
+
+    Symbols: the frequent words, the end (number head), then SLOTS for each class, the last of them for all further
+    words of the class.
+    """
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, classes: np.ndarray, class_sums: np.ndarray, ends: int, n: int, v: int):
         self.n, self.v, self.ends = n, v, ends
-        top = np.lexsort((hashes, -counts))[:HEAD]
+        order = np.lexsort((hashes, -counts))
+        top, rest = order[:HEAD], order[HEAD:]
         self.head = len(top)
-        symbol = np.full(len(hashes), -1, np.int16)
+        symbol = np.empty(len(hashes), np.int16)
         symbol[top] = np.arange(len(top))
+        by_class = rest[np.argsort(classes[rest], kind="stable")]
+        kind = classes[by_class]
+        place = np.arange(len(kind)) - np.searchsorted(kind, kind)
+        slot = np.minimum(place, SLOTS - 1)
+        symbol[by_class] = self.head + 1 + kind * SLOTS + slot
         order = np.argsort(hashes)
         self.hashes, self.counts, self.symbol = hashes[order], counts[order], symbol[order]
-        own = class_sums.astype(float)
-        np.subtract.at(own, classes[top], counts[top] + 0.5)
-        self.class_log = np.log10(own + 0.5)
-        self.size = self.head + 1 + CLASSES
-        # symbol frequencies, for the bias and as the noise
-        unigram = np.concatenate([counts[top], [ends], own]).astype(float) + 0.5
+        further = class_sums.astype(float)
+        np.subtract.at(further, classes[top], counts[top] + 0.5)
+        own, slot, kind = by_class[place < SLOTS - 1], slot[place < SLOTS - 1], kind[place < SLOTS - 1]
+        np.subtract.at(further, kind, counts[own] + 0.5)
+        self.class_log = np.log10(further + 0.5)
+        within = np.zeros((CLASSES, SLOTS))
+        within[kind, slot] = counts[own] + 0.5
+        within[:, -1] = further + 0.5
+        self.first, self.size = self.head + 1 + CLASSES, self.head + 1 + CLASSES * SLOTS
+        # frequencies, for the biases and as the noise
+        unigram = np.concatenate([counts[top] + 0.5, [ends + 0.5], within.sum(1)])
         self.noise = unigram / unigram.sum()
+        within = (within / within.sum(1)[:, None]).ravel()
+        self.slot_log = np.log(np.maximum(within, 1e-30)).astype(np.float32)
+        self.slot_ends = np.cumsum(within.reshape(CLASSES, SLOTS), 1) + np.arange(CLASSES)[:, None]
+        self.slot_ends[:, -1] = np.arange(1, CLASSES + 1)
+        self.slot_ends = self.slot_ends.ravel()
         rng = np.random.default_rng(2)
         self.parameters = {
             "r": rng.normal(0, 0.1, (self.size + 1, WIDTH)).astype(np.float32),
             "c": np.ones((ORDER, WIDTH), np.float32) / ORDER,
-            "q": rng.normal(0, 0.1, (self.size, WIDTH)).astype(np.float32),
+            "q": rng.normal(0, 0.1, (self.first, WIDTH)).astype(np.float32),
             "b": np.log(self.noise).astype(np.float32),
+            "slot_q": rng.normal(0, 0.1, (CLASSES * SLOTS, WIDTH)).astype(np.float32),
+            "slot_b": self.slot_log.copy(),
         }
 
+    def choices(self, symbols: np.ndarray) -> np.ndarray:
+        """The first choice of each symbol."""
+        return np.where(symbols > self.head, self.head + 1 + (symbols - self.head - 1) // SLOTS, symbols)
+
     def read(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Symbols of some documents' tokens in a row, where each document starts, each word's count (-1: not known), class."""
         n_docs = len(words.doc) - 1
@@ -109,10 +149,9 @@ class Model:
             k, known = np.zeros(len(words.hash), np.int64), np.zeros(len(words.hash), bool)
         kind = classes_of(words)
         count = np.full(len(k), -1, np.int64)
-        own = kind + np.int16(self.head + 1)
         count[known] = self.counts[k[known]]
-        symbol = self.symbol[k[known]]
-        own[known] = np.where(symbol >= 0, symbol, own[known])
+        own = kind * np.int16(SLOTS) + np.int16(self.head + SLOTS)
+        own[known] = self.symbol[k[known]]
         out = np.empty(len(k) + n_docs, np.int16)
         of = np.repeat(np.arange(n_docs), np.diff(words.doc))
         out[np.arange(len(k)) + of] = own
@@ -131,44 +170,87 @@ class Model:
         """Normalised log10 probability of each symbol in its context."""
         p = self.parameters
         scaled = [p["r"] * c for c in p["c"]]
-        out, q = np.empty(len(symbols), np.float32), p["q"].T.copy()
-        for i in range(0, len(symbols), 2048):
-            z = sum(s[h] for s, h in zip(scaled, before[:, i : i + 2048])) @ q
-            z += p["b"]
-            own = z[np.arange(len(z)), symbols[i : i + 2048]]
+        context = np.empty((len(symbols), WIDTH), np.float32)
+        for i in range(0, len(symbols), 8192):
+            context[i : i + 8192] = sum(s[h] for s, h in zip(scaled, before[:, i : i + 8192]))
+        first, out = self.choices(symbols), np.empty(len(symbols), np.float32)
+
+        def logs(context: np.ndarray, q: np.ndarray, b: np.ndarray, own: np.ndarray) -> np.ndarray:
+            z = context @ q
+            z += b
+            picked = z[np.arange(len(z)), own]
             top = z.max(1)
             z -= top[:, None]
             np.exp(z, out=z)
-            out[i : i + 2048] = own - top - np.log(z.sum(1))
+            return picked - top - np.log(z.sum(1))
+
+        q = p["q"].T.copy()
+        for i in range(0, len(symbols), 2048):
+            out[i : i + 2048] = logs(context[i : i + 2048], q, p["b"], first[i : i + 2048])
+        order = np.argsort(first, kind="stable")
+        ends = np.searchsorted(first[order], np.arange(self.head + 1, self.first + 1))
+        slots = symbols - np.int16(self.head + 1)
+        for c in range(CLASSES):
+            mine = slice(c * SLOTS, (c + 1) * SLOTS)
+            q = p["slot_q"][mine].T.copy()
+            for i in range(ends[c], ends[c + 1], 4096):
+                k = order[i : min(i + 4096, ends[c + 1])]
+                out[k] += logs(context[k], q, p["slot_b"][mine], slots[k] - c * SLOTS)
         return out / np.float32(np.log(10))
 
     def train(self, symbols: np.ndarray, before: np.ndarray, rng: np.random.Generator, squares: dict[str, np.ndarray]) -> None:
-        """One pass of noise-contrastive steps with adaptive rates; noise samples are shared by a step's rows."""
+        """One pass of noise-contrastive steps with adaptive rates; the first choice's noise is shared by a step's rows,
+        each row's slot has noise from its own class."""
         p = self.parameters
         log_noise = np.log(NOISE * self.noise).astype(np.float32)
+        slot_noise = self.slot_log + np.float32(np.log(SLOT_NOISE))
+        first = self.choices(symbols)
         order = rng.permutation(len(symbols))
-        eye = np.eye(self.size + 1, dtype=np.float32)
+        eye = np.eye(self.first, dtype=np.float32)
+        fakes = rng.choice(self.first, (len(order) // BATCH + 1, NOISE), p=self.noise)
         for i in range(0, len(order), BATCH):
             k = order[i : i + BATCH]
-            w, h = symbols[k], before[:, k]
+            w, h, share = first[k], before[:, k], np.float32(1 / len(k))
             vectors = p["r"][h]
             context = (vectors * p["c"][:, None, :]).sum(0)
-            fake = rng.choice(self.size, NOISE, p=self.noise)
-            good = 1 / (1 + np.exp(-((context * p["q"][w]).sum(1) + p["b"][w] - log_noise[w]))) - 1
-            bad = 1 / (1 + np.exp(-(context @ p["q"][fake].T + p["b"][fake] - log_noise[fake])))
-            to_context = good[:, None] * p["q"][w] + bad @ p["q"][fake]
-            ones, fakes = eye[w][:, :-1], eye[fake][:, :-1]
-            steps = {
-                "q": ones.T @ (good[:, None] * context) + fakes.T @ (bad.T @ context),
-                "b": ones.T @ good + fakes.T @ bad.sum(0),
-                "c": (vectors * to_context).sum(1),
-                "r": sum(eye[h[d]].T @ (to_context * p["c"][d]) for d in range(ORDER)),
-            }
-            for name, g in steps.items():
-                g /= len(k)
+            fake = fakes[i // BATCH]
+            own, other = p["q"][w], p["q"][fake]
+            good = (1 / (1 + np.exp(-((context * own).sum(1) + p["b"][w] - log_noise[w]))) - 1) * share
+            bad = 1 / (1 + np.exp(-(context @ other.T + p["b"][fake] - log_noise[fake]))) * share
+            to_context = good[:, None] * own + bad @ other
+            # slots of the rows' classes: the row's own and some noise
+            at = np.flatnonzero(w > self.head)
+            if len(at):
+                kind = w[at] - (self.head + 1)
+                slot = np.empty((len(at), SLOT_NOISE + 1), np.int64)
+                slot[:, 0] = symbols[k[at]] - (self.head + 1)
+                slot[:, 1:] = np.searchsorted(self.slot_ends, kind[:, None] + rng.random((len(at), SLOT_NOISE)), "right")
+                q, c = p["slot_q"][slot], context[at]
+                off = 1 / (1 + np.exp(-(np.einsum("ksw,kw->ks", q, c) + p["slot_b"][slot] - slot_noise[slot])))
+                off[:, 0] -= 1
+                off *= share
+                to_context[at] += np.einsum("ks,ksw->kw", off, q)
+                flat = slot.ravel().astype(np.int16)
+                both = np.concatenate([off[:, :, None] * c[:, None, :], off[:, :, None]], 2).reshape(-1, WIDTH + 1)
+                self._slots(flat, both, squares)
+            ones, noise = eye[w], eye[fake]
+            dense = {"q": ones.T @ (good[:, None] * context) + noise.T @ (bad.T @ context), "b": ones.T @ good + noise.T @ bad.sum(0), "c": (vectors * to_context).sum(1)}
+            _step(p["r"], squares["r"], h.ravel(), (to_context[None] * p["c"][:, None, :]).reshape(-1, WIDTH))
+            for name, g in dense.items():
                 squares[name] += g * g
                 p[name] -= RATE * g / np.sqrt(squares[name])
 
+    def _slots(self, rows: np.ndarray, gradient: np.ndarray, squares: dict[str, np.ndarray]) -> None:
+        """_step on slot_q and slot_b together: their rows are the same."""
+        order = np.argsort(rows, kind="stable")
+        sorted_ = rows[order]
+        first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+        rows, g = sorted_[first], np.add.reduceat(gradient[order], first, axis=0)
+        for name, part in (("slot_q", g[:, :-1]), ("slot_b", g[:, -1])):
+            s = squares[name][rows] + part * part
+            squares[name][rows] = s
+            self.parameters[name][rows] -= RATE * part / np.sqrt(s)
+
     def pack(self) -> bytes:
         return np.concatenate([x.ravel() for x in self.parameters.values()]).astype("<f4").tobytes()
 
@@ -179,8 +261,8 @@ class Model:
             at += x.size
 
 
-def _trained(docs: DataFrame, model: Model, turn: int) -> tuple[int, np.ndarray | None]:
-    """Positions trained on, and the mean of the parameters that the tasks reach, by positions; averaged in groups first, so the driver gets few."""
+def _trained(docs: DataFrame, model: Model, turn: int, scratch: Scratch) -> tuple[int, np.ndarray | None]:
+    """Positions trained on, and the mean of the parameters that the tasks reach, by positions; averaged group upon group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng([turn, part := TaskContext.get().partitionId()])
@@ -198,19 +280,23 @@ def _trained(docs: DataFrame, model: Model, turn: int) -> tuple[int, np.ndarray
             model.train(np.concatenate([s for s, _ in rest]), np.concatenate([c for _, c in rest], 1), rng, squares)
             seen += tokens
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([part // AVERAGED], pa.int32()), pa.array([seen], pa.int64()), pa.array([model.pack()], pa.binary())], ["part", "tokens", "parameters"])
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seen], pa.int64()), pa.array([model.pack()], pa.binary())], ["part", "tokens", "parameters"])
 
     def average(t: pa.Table) -> pa.Table:
         weights = t.column("tokens").to_numpy()
         flat = np.stack([np.frombuffer(x, "<f4") for x in t.column("parameters").to_pylist()])
         mean = np.average(flat.astype(float), axis=0, weights=weights).astype("<f4").tobytes()
-        return pa.table({"part": pa.array([0], pa.int32()), "tokens": pa.array([int(weights.sum())], pa.int64()), "parameters": pa.array([mean], pa.binary())})
+        return pa.table({"part": pa.array([t.column("part")[0].as_py() // AVERAGED], pa.int32()), "tokens": pa.array([int(weights.sum())], pa.int64()), "parameters": pa.array([mean], pa.binary())})
 
     schema = "part int, tokens long, parameters binary"
-    means = docs.mapInArrow(run, schema).groupBy("part").applyInArrow(average, schema).collect()
-    if not means:
+    means, level = scratch.table(docs.mapInArrow(run, schema), f"trained{turn}"), 0
+    while means.count() > AVERAGED:
+        level += 1
+        means = scratch.table(means.groupBy(F.floor(F.col("part") / AVERAGED)).applyInArrow(average, schema), f"trained{turn}_{level}")
+    found = means.collect()
+    if not found:
         return 0, None
-    return sum(r.tokens for r in means), np.average(np.stack([np.frombuffer(r.parameters, "<f4") for r in means]), axis=0, weights=[r.tokens for r in means])
+    return sum(r.tokens for r in found), np.average(np.stack([np.frombuffer(r.parameters, "<f4") for r in found]), axis=0, weights=[r.tokens for r in found])
 
 
 def fit(docs: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame]:
@@ -233,7 +319,7 @@ def fit(docs: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame]:
     arrays = [known.column(c).to_numpy() for c in ("hash", "n", "class")]
     model = Model(arrays[0].astype(np.int64).view(np.uint64), arrays[1].astype(np.int64), arrays[2].astype(np.int64), sums, ends, n + ends, v + (ends > 0))
     for turn in range(ROUNDS):
-        _, mean = _trained(docs, model, turn)
+        _, mean = _trained(docs, model, turn, scratch)
         if mean is not None:
             model.unpack(mean)
     return model, counts
@@ -254,11 +340,11 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, scratch: Scratch, id
                 symbols, begin, count, kinds = model.read(words)
                 here = count >= 0
                 logs = np.where(here, np.log10(np.maximum(count, 0) + 0.5), 0.0)
-                classed = symbols > model.head
+                further = (symbols > model.head) & ((symbols - model.head) % SLOTS == 0)
                 in_class = np.zeros(len(symbols))
                 of = np.repeat(np.arange(j - i), np.diff(words.doc))
                 place = np.arange(len(words.hash)) + of
-                in_class[place] = np.where(classed[place], logs - model.class_log[kinds], 0.0)
+                in_class[place] = np.where(further[place], logs - model.class_log[kinds], 0.0)
                 token = model.log10(symbols, model.contexts(symbols, begin)).astype(float) + in_class
                 sums = np.concatenate([[0.0], np.cumsum(token)])
                 base = np.concatenate([[0.0], np.cumsum(logs)])
