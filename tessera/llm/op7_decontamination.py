@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Words, chunks, drop_caches, grams, only, small_batches, table, utf8
+from tessera.llm.common import Words, chunks, drop_caches, grams, only, small_batches, table, unused, utf8
 
 GRAM = 3
 BLOCK_BYTES = 4 << 20
@@ -161,12 +161,14 @@ def _item_blocks(items: DataFrame) -> Iterator[list[tuple[object, str]]]:
 
 
 def mark(docs: DataFrame, items: DataFrame, least: float = LEAST, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """All columns of docs, then leaks: item_id, score, start and words (in words of this module) of each leaked item."""
+    """All columns of docs, then leaks (underscores go in front where docs has such a column): item_id, score, start and
+    words (in words of this module) of each leaked item."""
     from pyspark.sql import types as T
 
     items = only(items, item_id=item_id_col, text=item_text_col)
     kind = f"array<struct<item_id:{items.schema['item_id'].dataType.simpleString()},score:double,start:int,words:int>>"
-    docs = small_batches(docs).drop("leaks").withColumn("leaks", F.array().cast(kind))
+    name = unused(docs.columns, "leaks")
+    docs = small_batches(docs).withColumn(name, F.array().cast(kind))
     schema = docs.schema
     for block in _item_blocks(items):
         index = Index(block)
@@ -181,7 +183,7 @@ def mark(docs: DataFrame, items: DataFrame, least: float = LEAST, text_col: str
                 for i, j in chunks(at):
                     for d, k, score, s, n in index.leaks(words_of(data[at[i] : at[j]], at[i : j + 1] - at[i]), least):
                         found.setdefault(i + d, []).append({"item_id": index.ids[k], "score": score, "start": s, "words": n})
-                column = b.schema.get_field_index("leaks")
+                column = b.schema.get_field_index(name)
                 old = b.column(column)
                 if found:
                     merged = [old[k].as_py() + found[k] if k in found else old[k] for k in range(len(old))] if any(old.value_lengths().to_pylist()) else [found.get(k, []) for k in range(len(old))]
