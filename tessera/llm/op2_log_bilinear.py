@@ -2,7 +2,7 @@
 
 Tokens are words (A-Z in lower case) and one end for each document.  The HEAD most frequent words, the end and
 CLASSES classes of all other words (by their last bytes) are the model's first choice; within each class the
-SLOTS - 1 most frequent words and one slot for all its further words are the second.  So some sixteen thousand
+SLOTS - 1 most frequent words and one slot for all its further words are the second.  So some eight thousand
 words have vectors of their own, as contexts and as targets.  A context is the sum of the last ORDER symbols'
 vectors, each scaled by its distance's diagonal; matrix products with the output vectors of the first choice and of
 the token's class, plus biases, give normalised log-probabilities.  A further word of a class has the probability
@@ -31,9 +31,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import TOKEN_BYTES, Scratch, Words, chunks, mix, only, signed, small_batches, table, utf8
 
-HEAD, CLASSES, SLOTS, ORDER, WIDTH = 31, 128, 128, 3, 16
+HEAD, CLASSES, SLOTS, ORDER, WIDTH = 31, 64, 128, 3, 16
 KNOWN_WORDS = 1 << 18
-ROUNDS, BATCH, NOISE, SLOT_NOISE, RATE = 1, 1024, 32, 2, 0.1
+ROUNDS, RUN, RUNS, NOISE, SLOT_NOISE, RATE = 1, 64, 32, 16, 1, 0.1
+#: Places that are trained on in a random order together.
+TOGETHER = 1 << 17
 #: Counts that a task holds before it passes them on; parameters that one task averages.
 HELD, AVERAGED = 1_000_000, 16
 
@@ -170,72 +172,102 @@ class Model:
         """Normalised log10 probability of each symbol in its context."""
         p = self.parameters
         scaled = [p["r"] * c for c in p["c"]]
-        context = np.empty((len(symbols), WIDTH), np.float32)
+        context = np.ones((len(symbols), WIDTH + 1), np.float32)  # the last column takes the biases
         for i in range(0, len(symbols), 8192):
-            context[i : i + 8192] = sum(s[h] for s, h in zip(scaled, before[:, i : i + 8192]))
+            context[i : i + 8192, :-1] = sum(s[h] for s, h in zip(scaled, before[:, i : i + 8192]))
         first, out = self.choices(symbols), np.empty(len(symbols), np.float32)
 
-        def logs(context: np.ndarray, q: np.ndarray, b: np.ndarray, own: np.ndarray) -> np.ndarray:
+        def logs(context: np.ndarray, q: np.ndarray, own: np.ndarray) -> np.ndarray:
             z = context @ q
-            z += b
+            if z.max() > 80:  # beyond what an exponential holds
+                z -= z.max(1)[:, None]
             picked = z[np.arange(len(z)), own]
-            top = z.max(1)
-            z -= top[:, None]
             np.exp(z, out=z)
-            return picked - top - np.log(z.sum(1))
+            return picked - np.log(z @ np.ones(z.shape[1], np.float32))
 
-        q = p["q"].T.copy()
+        q = np.concatenate([p["q"].T, p["b"][None]])
         for i in range(0, len(symbols), 2048):
-            out[i : i + 2048] = logs(context[i : i + 2048], q, p["b"], first[i : i + 2048])
+            out[i : i + 2048] = logs(context[i : i + 2048], q, first[i : i + 2048])
         order = np.argsort(first, kind="stable")
         ends = np.searchsorted(first[order], np.arange(self.head + 1, self.first + 1))
         slots = symbols - np.int16(self.head + 1)
         for c in range(CLASSES):
             mine = slice(c * SLOTS, (c + 1) * SLOTS)
-            q = p["slot_q"][mine].T.copy()
+            q = np.concatenate([p["slot_q"][mine].T, p["slot_b"][None, mine]])
             for i in range(ends[c], ends[c + 1], 4096):
                 k = order[i : min(i + 4096, ends[c + 1])]
-                out[k] += logs(context[k], q, p["slot_b"][mine], slots[k] - c * SLOTS)
+                out[k] += logs(context[k], q, slots[k] - c * SLOTS)
         return out / np.float32(np.log(10))
 
-    def train(self, symbols: np.ndarray, before: np.ndarray, rng: np.random.Generator, squares: dict[str, np.ndarray]) -> None:
-        """One pass of noise-contrastive steps with adaptive rates; the first choice's noise is shared by a step's rows,
-        each row's slot has noise from its own class."""
+    def stream(self, symbols: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The documents' symbols in a row with ORDER times self.size before each, and where each symbol went."""
+        at = np.arange(len(symbols)) + ORDER * (1 + np.repeat(np.arange(len(begin) - 1), np.diff(begin)))
+        out = np.full(len(symbols) + ORDER * (len(begin) - 1), self.size, np.int16)
+        out[at] = symbols
+        return out, at
+
+    def train(self, stream: np.ndarray, targets: np.ndarray, rng: np.random.Generator, squares: dict[str, np.ndarray]) -> None:
+        """One pass of noise-contrastive steps with adaptive rates over the targets (marked places) of a stream.
+
+        A step takes RUNS runs of RUN places from anywhere, so that a place's vector is read and changed once for all
+        contexts that hold it.  The first choice's noise is shared by a step, each target's slot has noise from its
+        own class.
+        """
         p = self.parameters
         log_noise = np.log(NOISE * self.noise).astype(np.float32)
         slot_noise = self.slot_log + np.float32(np.log(SLOT_NOISE))
-        first = self.choices(symbols)
-        order = rng.permutation(len(symbols))
+        runs = -(-(len(stream) - ORDER) // RUN)
+        stream = np.concatenate([stream, np.full(ORDER + runs * RUN - len(stream), self.size, np.int16)])
+        marked = np.zeros(len(stream), bool)
+        marked[: len(targets)] = targets
+        first = self.choices(stream)
+        order = rng.permutation(runs)
         eye = np.eye(self.first, dtype=np.float32)
-        fakes = rng.choice(self.first, (len(order) // BATCH + 1, NOISE), p=self.noise)
-        for i in range(0, len(order), BATCH):
-            k = order[i : i + BATCH]
-            w, h, share = first[k], before[:, k], np.float32(1 / len(k))
-            vectors = p["r"][h]
-            context = (vectors * p["c"][:, None, :]).sum(0)
-            fake = fakes[i // BATCH]
+        noise = rng.choice(self.first, (runs // RUNS + 1, NOISE), p=self.noise)
+        for i in range(0, runs, RUNS):
+            places = order[i : i + RUNS, None] * RUN + np.arange(RUN + ORDER)
+            held = stream[places]
+            vectors = p["r"][held]
+            shifts = [vectors[:, ORDER - d : ORDER - d + RUN] for d in range(1, ORDER + 1)]
+            k = np.flatnonzero(marked[places[:, ORDER:]])
+            if not len(k):
+                continue
+            context = sum(v * c for v, c in zip(shifts, p["c"])).reshape(-1, WIDTH)[k]
+            own_places = places[:, ORDER:].ravel()[k]
+            w, share = first[own_places], np.float32(1 / len(k))
+            fake = noise[i // RUNS]
             own, other = p["q"][w], p["q"][fake]
-            good = (1 / (1 + np.exp(-((context * own).sum(1) + p["b"][w] - log_noise[w]))) - 1) * share
-            bad = 1 / (1 + np.exp(-(context @ other.T + p["b"][fake] - log_noise[fake]))) * share
+            good = (1 / (1 + np.exp(-(np.einsum("kw,kw->k", context, own) + (p["b"] - log_noise)[w]))) - 1) * share
+            bad = context @ other.T
+            bad += (p["b"] - log_noise)[fake]
+            np.exp(-bad, out=bad)
+            bad = share / (1 + bad)
             to_context = good[:, None] * own + bad @ other
-            # slots of the rows' classes: the row's own and some noise
+            # slots of the targets' classes: each one's own and some noise
             at = np.flatnonzero(w > self.head)
             if len(at):
                 kind = w[at] - (self.head + 1)
-                slot = np.empty((len(at), SLOT_NOISE + 1), np.int64)
-                slot[:, 0] = symbols[k[at]] - (self.head + 1)
-                slot[:, 1:] = np.searchsorted(self.slot_ends, kind[:, None] + rng.random((len(at), SLOT_NOISE)), "right")
+                slot = np.empty((SLOT_NOISE + 1, len(at)), np.int16)
+                slot[0] = stream[own_places[at]] - (self.head + 1)
+                slot[1:] = np.searchsorted(self.slot_ends, kind + rng.random((SLOT_NOISE, len(at))), "right")
                 q, c = p["slot_q"][slot], context[at]
-                off = 1 / (1 + np.exp(-(np.einsum("ksw,kw->ks", q, c) + p["slot_b"][slot] - slot_noise[slot])))
-                off[:, 0] -= 1
+                off = 1 / (1 + np.exp(-(np.einsum("skw,kw->sk", q, c) + (p["slot_b"] - slot_noise)[slot])))
+                off[0] -= 1
                 off *= share
-                to_context[at] += np.einsum("ks,ksw->kw", off, q)
-                flat = slot.ravel().astype(np.int16)
-                both = np.concatenate([off[:, :, None] * c[:, None, :], off[:, :, None]], 2).reshape(-1, WIDTH + 1)
-                self._slots(flat, both, squares)
-            ones, noise = eye[w], eye[fake]
-            dense = {"q": ones.T @ (good[:, None] * context) + noise.T @ (bad.T @ context), "b": ones.T @ good + noise.T @ bad.sum(0), "c": (vectors * to_context).sum(1)}
-            _step(p["r"], squares["r"], h.ravel(), (to_context[None] * p["c"][:, None, :]).reshape(-1, WIDTH))
+                to_context[at] += np.einsum("sk,skw->kw", off, q)
+                both = np.empty((*slot.shape, WIDTH + 1), np.float32)
+                np.multiply(off[:, :, None], c, out=both[:, :, :-1])
+                both[:, :, -1] = off
+                self._slots(slot.ravel(), both.reshape(-1, WIDTH + 1), squares)
+            back = np.zeros((len(places) * RUN, WIDTH), np.float32)
+            back[k] = to_context
+            back = back.reshape(len(places), RUN, WIDTH)
+            to_vectors = np.zeros_like(vectors)
+            for d, c in enumerate(p["c"], 1):
+                to_vectors[:, ORDER - d : ORDER - d + RUN] += back * c
+            ones, fakes = eye[w], eye[fake]
+            dense = {"q": ones.T @ (good[:, None] * context) + fakes.T @ (bad.T @ context), "b": ones.T @ good + fakes.T @ bad.sum(0), "c": np.stack([np.einsum("rpw,rpw->w", v, back) for v in shifts])}
+            _step(p["r"], squares["r"], held.ravel(), to_vectors.reshape(-1, WIDTH))
             for name, g in dense.items():
                 squares[name] += g * g
                 p[name] -= RATE * g / np.sqrt(squares[name])
@@ -267,18 +299,25 @@ def _trained(docs: DataFrame, model: Model, turn: int, scratch: Scratch) -> tupl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng([turn, part := TaskContext.get().partitionId()])
         squares, seen, rest = {k: np.full_like(x, 1e-6) for k, x in model.parameters.items()}, 0, []
+
+        def train() -> int:
+            stream, targets = (np.concatenate(x) for x in zip(*rest))
+            rest.clear()
+            model.train(stream, targets, rng, squares)
+            return int(targets.sum())
+
         for b in batches:
             data, at = utf8(b.column("text"))
             for i, j in chunks(at):
                 symbols, begin, _, _ = model.read(Words(data[at[i] : at[j]], at[i : j + 1] - at[i], lower=True))
-                mine = np.flatnonzero(mix(np.arange(len(symbols), dtype=np.uint64) + np.uint64(at[i])) % np.uint64(ROUNDS) == turn)
-                rest.append((symbols[mine], model.contexts(symbols, begin)[:, mine]))
-                if sum(len(s) for s, _ in rest) >= 16 * BATCH:
-                    model.train(np.concatenate([s for s, _ in rest]), np.concatenate([c for _, c in rest], 1), rng, squares)
-                    seen, rest = seen + sum(len(s) for s, _ in rest), []
-        if tokens := sum(len(s) for s, _ in rest):
-            model.train(np.concatenate([s for s, _ in rest]), np.concatenate([c for _, c in rest], 1), rng, squares)
-            seen += tokens
+                stream, places = model.stream(symbols, begin)
+                targets = np.zeros(len(stream), bool)
+                targets[places] = mix(np.arange(len(symbols), dtype=np.uint64) + np.uint64(at[i])) % np.uint64(ROUNDS) == turn
+                rest.append((stream, targets))
+                if sum(len(x) for x, _ in rest) >= TOGETHER:
+                    seen += train()
+        if rest:
+            seen += train()
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seen], pa.int64()), pa.array([model.pack()], pa.binary())], ["part", "tokens", "parameters"])
 
