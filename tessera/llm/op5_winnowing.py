@@ -18,6 +18,8 @@ hashes, rows alike in id and text follow each other, so each row has one next do
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,7 +81,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def next_documents(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """One row for each different (id, tie) of rows with its number of rows, its characters, and the (id, tie) after
     it; the first one follows the last.  No texts are shuffled."""
-    ids = rows.groupBy(*KEY).agg(F.count("*").alias("count"), F.max(F.char_length("text")).cast("long").alias("n_chars"))
+    ids = rows.groupBy(*KEY).agg(F.min("absent").alias("absent"), F.count("*").alias("count"), F.max(F.char_length("text")).cast("long").alias("n_chars"))
     ids = scratch.table(ids, "ids")
     n = ids.count()
     at = scratch.table(numbered(ids, n, KEY, scratch, "by_id", "at"), "at")
@@ -89,29 +91,32 @@ def next_documents(rows: DataFrame, scratch: Scratch) -> DataFrame:
 
 def likened(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, edited (the last quarter replaced by the next document's beginning), and the entries of the
-    text, of the edited one and of the next document, for each row."""
+    text (own) and of the next document (next), for each row."""
     scratch = Scratch(docs.sparkSession, "op5")
     id_, tie = row_key(F.col(id_col), F.col(text_col))
     kind = docs.schema[id_col].dataType
     rows = docs.select(id_.alias("id"), tie.alias("tie"), F.col(id_col).isNull().alias("absent"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     nexts = next_documents(rows, scratch)
-    plan = nexts.select(*KEY, "count", "n_chars").join(nexts.select(F.col("next_id").alias("id"), F.col("next_tie").alias("tie"), F.col("id").alias("of_id"), F.col("tie").alias("of_tie"), F.floor(F.col("n_chars") / 4).cast("int").alias("of_cut")), KEY)
-    plan = scratch.table(plan, "plan")
+    asked = nexts.select(F.col("next_id").alias("id"), F.col("next_tie").alias("tie"), F.col("id").alias("of_id"), F.col("tie").alias("of_tie"), F.floor(F.col("n_chars") / 4).cast("int").alias("of_cut"))
+    plan = scratch.table(nexts.drop("next_id", "next_tie").join(asked, KEY).withColumn("cut", F.floor(F.col("n_chars") / 4).cast("int")), "plan")
     again = plan.where("count > 1")
-    alike = scratch.table(by_ids(rows, again, again.count(), "inner", KEY).dropDuplicates(KEY), "alike")
-    # texts and their entries meet the plan in one shuffle, and the next document's head and entries where they are
-    parts = [kept(rows, "text", "own").join(plan.where("count = 1").hint("shuffle_hash"), KEY), kept(alike, "text", "own")]
-    heads = [x.select(F.col("of_id").alias("id"), F.col("of_tie").alias("tie"), F.expr("left(text, of_cut)").alias("head"), F.col("own").alias("next")) for x in parts]
-    heads = heads[0].unionByName(heads[1]).hint("shuffle_hash")
-    once, alike = (x.join(heads, KEY).withColumn("cut", F.floor(F.col("n_chars") / 4).cast("int")) for x in parts)
-    edited = lambda head: F.concat(F.expr("left(text, n_chars - cut)"), head)
+    n_again = again.count()
+    # every text meets the plan in one shuffle, whose output serves both the document and the one before it
+    rows = rows.select(*KEY, "text")
+    once = rows.join(plan.where("count = 1").hint("shuffle_hash"), KEY)
+    alike = scratch.table(by_ids(rows, again, n_again, "inner", KEY).dropDuplicates(KEY), "alike")
+    parts = [once, alike] if n_again else [once]
+    heads = [x.select(F.col("of_id").alias("id"), F.col("of_tie").alias("tie"), F.expr("left(text, of_cut)").alias("head"), "text") for x in parts]
+    heads = reduce(DataFrame.unionByName, [kept(x, "text", "next").drop("text") for x in heads]).hint("shuffle_hash")
     doc_id = F.when(~F.col("absent"), F.col("id")).cast(kind).alias("doc_id")
-    last = [x.select(doc_id, "n_chars", edited(F.col("head")).alias("edited"), "own", "next") for x in (once, alike)]
-    # of rows alike all but one are followed by themselves
-    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("count") - 2) / ALIKE)))
-    more = alike.select("*", chunk.alias("k"))
-    more = more.repartition("id", "tie", "k").withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(ALIKE).cast("long"), F.col("count") - 1 - F.col("k") * ALIKE))))
-    return last[0].unionByName(last[1]).unionByName(more.select(doc_id, "n_chars", edited(F.expr("left(text, cut)")).alias("edited"), "own", F.col("own").alias("next")))
+    edited = lambda head: F.concat(F.expr("left(text, n_chars - cut)"), head).alias("edited")
+    out = [kept(x.join(heads, KEY), "text", "own").select(doc_id, "n_chars", edited(F.col("head")), "own", "next") for x in parts]
+    if n_again:  # of rows alike all but one are followed by themselves
+        chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("count") - 2) / ALIKE)))
+        more = kept(alike.select("*", chunk.alias("k")).repartition("id", "tie", "k"), "text", "own")
+        more = more.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(ALIKE).cast("long"), F.col("count") - 1 - F.col("k") * ALIKE))))
+        out.append(more.select(doc_id, "n_chars", edited(F.expr("left(text, cut)")), "own", F.col("own").alias("next")))
+    return reduce(DataFrame.unionByName, out)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
