@@ -107,7 +107,7 @@ def answer_overlap(t: Tables) -> DataFrame:
 
 
 @query("""SELECT o_orderkey, array_to_string(list_sort(list_distinct(regexp_extract_all(upper(o_orderstatus || ' ' || o_orderpriority), '\\b([A-E])\\b', 1))), '') AS letters, CASE WHEN regexp_extract(upper(o_orderstatus || ' ' || o_orderpriority), '\\b([A-E])\\b', 1) <> '' THEN regexp_extract(upper(o_orderstatus || ' ' || o_orderpriority), '\\b([A-E])\\b', 1) ELSE upper(left(o_orderstatus, 1)) END AS letter,
- CASE WHEN regexp_matches(lower(o_orderpriority), '\\b(no|not|false|never|none)\\b') THEN 'false' ELSE lower(o_orderpriority) END AS flag FROM orders""")
+ CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN false END AS flag FROM orders""")
 def parsed_choices(t: Tables) -> DataFrame:
     both = F.concat_ws(" ", "o_orderstatus", "o_orderpriority")
     return t.orders.select("o_orderkey", F.array_join(parse.choices(both), "").alias("letters"), parse.choice(both).alias("letter"), parse.boolean(F.col("o_orderpriority")).alias("flag"))
@@ -180,10 +180,40 @@ def macro_average_pivot(t: Tables) -> DataFrame:
     return scoring.pivoted(_scores(t), ["source"], "lang", ["en", "de", "fr", "es"], "quality")
 
 
-@query(None)
+_SHORT = [("The answer is 5 days.", "5"), ("monotypic species", "No recognized subspecies exist"), ("between 3 to 5 eggs", "clutch 3-5"), ("red bill", "bright red bill"), ("a", "zebra"), ("blue wing patch", "green wing patch"), ("", "x"), ("", ""), ("10 meters tall", "tall 10 m"), ("2 or 3", "3 or 2"), ("3 – 4", "3-4"), (None, "none")]
+
+
+@query("""WITH c(i, exact, f1, correct) AS (VALUES (0, 1.0, 1.0, 1), (1, 0.0, 1.0, 1), (2, 0.0, 1.0, 1), (3, 0.0, 0.85, 1), (4, 0.0, 0.85, 1), (5, 0.0, 0.666667, 0), (6, 0.0, 0.0, 0), (7, 1.0, 1.0, 1), (8, 0.0, 1.0, 1), (9, 0.0, 1.0, 1), (10, 1.0, 1.0, 1), (11, 0.0, 0.0, 0))
+ SELECT conv_id, turn, CAST(exact AS DOUBLE) AS exact, CAST(f1 AS DOUBLE) AS f1, correct FROM conversations JOIN c ON i = conv_id % 12""")
 def short_answer_cascade(t: Tables) -> DataFrame:
-    score = scoring.short_answer_score(F.col("a"), F.col("q"))
-    return _pairs(t).select("conv_id", "turn", F.round(score, 6).alias("score"), scoring.correct(score).alias("correct"))
+    """Answers of literal cases, dealt over all turns; the expected scores are written out."""
+    cases = F.element_at(F.array(*(F.struct(F.lit(a).cast("string").alias("a"), F.lit(b).alias("b")) for a, b in _SHORT)), (F.col("conv_id") % len(_SHORT) + 1).cast("int"))
+    score = scoring.short_answer_score(F.col("c.a"), F.col("c.b"))
+    return t.conversations.select("conv_id", "turn", cases.alias("c")).select("conv_id", "turn", score.alias("s")).select("conv_id", "turn", "s.exact", F.round("s.f1", 6).alias("f1"), "s.correct")
+
+
+_FORMS = [
+    ("taxonomy", "Taxonomic Trap", "No, distinct species", "false"), ("taxonomy", "taxonomic trap", "yes", "not"), ("taxonomy", "monotypic verification", "it is monotypic", "no subspecies"), ("taxonomy", "subspecies check", "alba and nigra; rosea", "alba, nigra"),
+    ("taxonomy", "nomenclature & etymology", "named in 1758", "1758"), ("taxonomy", "sister/similar taxa", "currently conspecific", "true"), ("taxonomy", None, "red and blue", "blue and red"), ("choice", None, "the answer is c", "C"), ("choice", None, "b", "D"),
+    ("choices", None, "A, C", "C A"), ("choices", None, "A, B", "A"), ("short", None, "6 to 8", "6-8"), ("text", None, "Great  Tit!", "great tit"), ("text", None, "tit", "great tit"),
+]
+
+
+@query("""WITH c(i, exact, f1, correct) AS (VALUES (0, 0.0, 1.0, 1), (1, 0.0, 0.0, 0), (2, 0.0, 1.0, 1), (3, 0.0, 0.8, 1), (4, 0.0, 1.0, 1), (5, 0.0, 1.0, 1), (6, 0.0, 1.0, 1), (7, 1.0, 1.0, 1), (8, 0.0, 0.0, 0), (9, 1.0, 1.0, 1), (10, 0.0, 0.666667, 0), (11, 1.0, 1.0, 1), (12, 1.0, 1.0, 1), (13, 0.0, 0.0, 0))
+ SELECT doc_id, CAST(exact AS DOUBLE) AS exact, CAST(f1 AS DOUBLE) AS f1, correct FROM documents JOIN c ON i = doc_id % 14""")
+def answer_dispatch(t: Tables) -> DataFrame:
+    """Answers of literal cases of every form, dealt over all documents; the expected scores are written out."""
+    cases = F.element_at(F.array(*(F.struct(*(F.lit(x).cast("string").alias(n) for x, n in zip(case, ("form", "kind", "a", "b")))) for case in _FORMS)), (F.col("doc_id") % len(_FORMS) + 1).cast("int"))
+    score = scoring.answer_score(F.col("c.form"), F.col("c.kind"), F.col("c.a"), F.col("c.b"))
+    return t.documents.select("doc_id", cases.alias("c")).select("doc_id", score.alias("s")).select("doc_id", "s.exact", F.round("s.f1", 6).alias("f1"), "s.correct")
+
+
+@query("""WITH s AS (SELECT source, lang, CAST(quality = 1 AS INTEGER) AS o, CAST(quality = 1 AND toxic = 0 AS INTEGER) AS f FROM labels JOIN documents USING (doc_id))
+ SELECT source, count(*) AS n_total, printf('%.2f', avg(o) * 100) AS order_accuracy, printf('%.2f', avg(f) * 100) AS family_accuracy, printf('%.2f', avg(CASE WHEN f = 1 THEN 1.0 WHEN o = 1 THEN 0.5 ELSE 0.0 END) * 100) AS hierarchical_accuracy FROM s GROUP BY 1""")
+def hierarchy_summary(t: Tables) -> DataFrame:
+    rows = t.labels.join(t.documents, "doc_id").withColumns({"order_correct": (F.col("quality") == 1).cast("int"), "family_correct": ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")})
+    rows = rows.withColumn("hierarchical_score", F.when(F.col("family_correct") == 1, 1.0).when(F.col("order_correct") == 1, 0.5).otherwise(0.0))
+    return scoring.hierarchy_summary(rows, ["source"])
 
 
 @query("""WITH g AS (SELECT l_orderkey, list(DISTINCT l_suppkey) AS gold FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), f AS (SELECT l_orderkey, list(DISTINCT l_suppkey) AS found FROM lineitem WHERE l_quantity > 25 GROUP BY 1),

@@ -9,9 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; under a local temporary one where that is unset (tests)."""
+    """A new folder under spark.checkpoint.dir; in local mode under a temporary one where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tessera-")
         atexit.register(shutil.rmtree, root.removeprefix("file://"), True)
         spark.sparkContext.setCheckpointDir(root)

@@ -13,10 +13,16 @@ def _fs(spark: SparkSession, path: str):
 
 
 def rewrite(df: DataFrame, path: str, form: str = "parquet") -> None:
-    """Writes beside the old table and renames at the end, so readers see the old or the new one whole."""
+    """Writes beside the old table and renames at the end, so readers see the old or the new one whole.
+
+    A run that was lost between the two renames is mended first: its old table takes its place again.  On stores
+    without atomic renames a reader may find the table absent in between.
+    """
     spark = df.sparkSession
     staging, fs = _fs(spark, f"{path}.staging")
     target, old = _fs(spark, path)[0], _fs(spark, f"{path}.old")[0]
+    if fs.exists(old) and not fs.exists(target):
+        fs.rename(old, target)
     df.write.mode("overwrite").format(form).save(staging.toString())
     fs.delete(old, True)
     if fs.exists(target):

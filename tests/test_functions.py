@@ -38,8 +38,18 @@ def value(spark, column, **columns):
         (X.without_fence, "```json\n{}\n```", "{}"),
         (parse.choice, "the answer is c", "C"),
         (parse.choice, "bird", "B"),
-        (parse.boolean, "Not true.", "false"),
-        (parse.short_answer, "The answer is: 1,200 to 1,300 m.", "1200-1300 m"),
+        (parse.boolean, "Not true.", False),
+        (parse.boolean, "They are conspecific", True),
+        (parse.boolean, "unclear", None),
+        (parse.short_answer, "The answer is 1,200 to 1,300 meters.", "1200-1300 m"),
+        (parse.short_answer, "It was 5 days", "5"),
+        (parse.answer, ' {"answer": " B "} ', "B"),
+        (parse.answer, 'so "answer" : "x y" then', "x y"),
+        (parse.answer, "thus\nAnswer = \"42\"\nend", "42"),
+        (parse.answer, " plain ", "plain"),
+        (parse.answer, "  ", None),
+        (parse.name, "2) “Great-Tit” (Parus)", "great-tit parus"),
+        (parse.label, " Great_Tit: x ", "great tit x"),
         (parse.balanced_object, 'so {"a": {"b": "}"}} x', '{"a": {"b": "}"}}'),
         (parse.balanced_object, "none {", None),
     ],
@@ -57,7 +67,9 @@ def test_scalar(spark, function, given, wanted):
         (X.multi_value, "a <SEP>b<SEP> ", ["a", "b"]),
         (X.name_variants, "great-tit (x)", ["great-tit (x)", "Great-tit (x)", "great tit (x)", "great-tit"]),
         (parse.choices, "b, D and b", ["B", "D"]),
-        (parse.numbers, "-1.5 to 20 x", [-1.5, 20.0]),
+        (parse.numbers, "1.5 to 20 x, 7", ["1.5-20", "7"]),
+        (parse.names, "alba and nigra; its rosea/", ["alba", "nigra", "rosea"]),
+        (parse.scientific_names, "A Great tit (Parus major) and Parus major.", ["great tit", "parus major"]),
         (parse.answer_list, '["a", " b", "a"]', ["a", "b"]),
         (parse.answer_list, "1. a\n- b; c", ["a", "b", "c"]),
         (parse.ranked_guesses, "1) x, y\n2. z", ["x", "y", "z"]),
