@@ -123,8 +123,8 @@ def scientific_names(c: Column) -> Column:
 
 
 def percent(c: Column) -> Column:
-    """A share in per cent with two digits, empty where there is none."""
-    return F.when(c.isNull(), "").otherwise(F.format_string("%.2f", c * 100))
+    """A share in per cent with two digits (halves to the even digit), empty where there is none."""
+    return F.when(c.isNull(), "").otherwise(F.format_string("%.2f", F.bround(c * 100, 2)))
 
 
 def answer_list(c: Column) -> Column:

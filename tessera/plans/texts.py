@@ -107,10 +107,10 @@ def answer_overlap(t: Tables) -> DataFrame:
 
 
 @query("""SELECT o_orderkey, array_to_string(list_sort(list_distinct(regexp_extract_all(upper(o_orderstatus || ' ' || o_orderpriority), '\\b([A-E])\\b', 1))), '') AS letters, CASE WHEN regexp_extract(upper(o_orderstatus || ' ' || o_orderpriority), '\\b([A-E])\\b', 1) <> '' THEN regexp_extract(upper(o_orderstatus || ' ' || o_orderpriority), '\\b([A-E])\\b', 1) ELSE upper(left(o_orderstatus, 1)) END AS letter,
- CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN false END AS flag FROM orders""")
+ CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'false' ELSE '' END AS flag FROM orders""")
 def parsed_choices(t: Tables) -> DataFrame:
     both = F.concat_ws(" ", "o_orderstatus", "o_orderpriority")
-    return t.orders.select("o_orderkey", F.array_join(parse.choices(both), "").alias("letters"), parse.choice(both).alias("letter"), parse.boolean(F.col("o_orderpriority")).alias("flag"))
+    return t.orders.select("o_orderkey", F.array_join(parse.choices(both), "").alias("letters"), parse.choice(both).alias("letter"), F.coalesce(parse.boolean(F.col("o_orderpriority")).cast("string"), F.lit("")).alias("flag"))
 
 
 @query(None)
