@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.sources.shared import shared_folder
+
 
 def properties(*columns: str) -> Column:
     """Map of the non-empty columns as texts."""
@@ -40,15 +42,21 @@ def hierarchy(parts: Sequence[tuple[str, DataFrame, str, str | None, str | None,
 def subtree(edge: DataFrame, root: DataFrame, depth: int) -> DataFrame:
     """node_id, depth (least) of everything reachable from the roots in so many steps.
 
-    A bounded number of joins: hierarchies are a few ranks deep.  root: column node_id.
+    Each level is written, and holds only nodes that no earlier level has; the walk ends with an empty one.  root:
+    column node_id.
     """
-    level = root.select("node_id").distinct().withColumn("depth", F.lit(0))
-    out = level
+    spark, folder = edge.sparkSession, shared_folder(edge.sparkSession, "levels")
     steps = edge.select(F.col("source").alias("node_id"), F.col("target").alias("_next"))
+    root.select("node_id").distinct().write.parquet(f"{folder}/depth=0")
+    read = lambda d: spark.read.schema(root.select("node_id").schema).parquet(f"{folder}/depth={d}")
+    levels = [read(0)]
     for d in range(1, depth + 1):
-        level = level.join(steps, "node_id").select(F.col("_next").alias("node_id")).distinct().withColumn("depth", F.lit(d))
-        out = out.unionByName(level)
-    return out.groupBy("node_id").agg(F.min("depth").alias("depth"))
+        new = levels[-1].join(steps, "node_id").select(F.col("_next").alias("node_id")).distinct()
+        new.join(union(levels), "node_id", "left_anti").write.parquet(f"{folder}/depth={d}")
+        if read(d).isEmpty():
+            break
+        levels.append(read(d))
+    return union([level.withColumn("depth", F.lit(d)) for d, level in enumerate(levels)])
 
 
 def undirected(edge: DataFrame) -> DataFrame:

@@ -6,22 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.sources.shared import shared_folder
+
+
+#: Rows of a range on average.
+RANGE_ROWS = 50_000
+
 
 def with_place(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """df with place, from 0, in a global order whose columns identify a row.
 
-    Rows are bucketed by the quantiles of the first order column; a bucket's offset is the count of those before.
+    Rows are dealt by ranges of the whole order, of whatever type, and written with their range; a range's offset is
+    the count of those before.
     """
-    first = order[0]
-    total = df.count()
-    buckets = max(1, min(10_000, total // 50_000))
-    if buckets > 1 and dict(df.dtypes)[first] in ("int", "bigint", "double"):
-        cuts = df.agg(F.percentile_approx(first, [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
-        bucket = F.size(F.filter(F.array(*(F.lit(c) for c in sorted(set(cuts)))), lambda c: c < F.col(first)))
-    else:
-        bucket = F.lit(0)
-    rows = df.withColumn("_b", F.coalesce(bucket, F.lit(0)))
+    spark, folder = df.sparkSession, shared_folder(df.sparkSession, "ranges")
+    ranged = df.repartitionByRange(max(1, df.count() // RANGE_ROWS), *order).withColumn("_b", F.spark_partition_id())
+    ranged.write.parquet(folder)
+    rows = spark.read.schema(ranged.schema).parquet(folder)
     counts = rows.groupBy("_b").agg(F.count("*").alias("_n"))
     before = counts.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     placed = rows.withColumn("_p", F.row_number().over(Window.partitionBy("_b").orderBy(*order)) - 1)
-    return placed.join(F.broadcast(before), "_b").withColumn("place", F.col("_before") + F.col("_p")).drop("_b", "_p", "_before")
+    return placed.join(before, "_b").withColumn("place", F.col("_before") + F.col("_p")).drop("_b", "_p", "_before")

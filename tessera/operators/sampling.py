@@ -39,9 +39,12 @@ def allocation(df: DataFrame, stratum: str, n: int) -> DataFrame:
 
 
 def stratified(df: DataFrame, id_: str, stratum: str, n: int, seed: int) -> DataFrame:
-    """Each stratum's quota of rows of lowest hash; quotas are few and go to every task."""
+    """Each stratum's quota of rows of lowest hash.
+
+    No quota exceeds n, a constant, so every task keeps its n first rows of a stratum before any is shuffled.
+    """
     quota = allocation(df, stratum, n).select(stratum, "quota")
-    ranked = df.withColumn("_n", F.row_number().over(Window.partitionBy(stratum).orderBy(hashed(id_, seed), id_)))
+    ranked = df.withColumn("_n", F.row_number().over(Window.partitionBy(stratum).orderBy(hashed(id_, seed), id_))).where(F.col("_n") <= n)
     return ranked.join(quota, stratum).where("_n <= quota").drop("_n", "quota")
 
 

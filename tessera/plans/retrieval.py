@@ -17,21 +17,25 @@ _IDF = f"""k AS (SELECT doc_id, {_tokens('text')} AS t FROM documents), p AS (SE
 _LEXICAL = _IDF + f""", q AS (SELECT DISTINCT item_id, unnest({_tokens('text')}) AS token FROM benchmark), s AS (SELECT item_id, doc_id, round(sum(CAST(idf AS DECIMAL(18, 6))) - CASE WHEN max(n) < 12 THEN 3 ELSE 0 END, 4) AS score FROM q JOIN i USING (token) JOIN p USING (token) GROUP BY 1, 2)"""
 
 
-def _index(t: Tables) -> tuple[DataFrame, DataFrame]:
-    posts = R.postings(t.documents.select("doc_id", "text"), "doc_id", "text")
-    return posts, R.idf(posts, "doc_id", t.documents.count())
+def _present(t: Tables) -> DataFrame:
+    return R.presence(t.documents.select("doc_id", "text"), "doc_id", "text")
+
+
+def _lexical(t: Tables) -> DataFrame:
+    """Scores of benchmark items against documents; weights of their tokens only, summed exactly."""
+    asked = R.asked_tokens(t.benchmark, "item_id", "text").select("token").distinct()
+    weights = R.idf(_present(t), t.documents.count(), asked)
+    return R.lexical_scores(t.benchmark, "item_id", "text", _present(t), weights.withColumn("idf", F.col("idf").cast("decimal(18,6)")), "doc_id")
 
 
 @query(f"WITH {_IDF} SELECT * FROM i")
 def idf(t: Tables) -> DataFrame:
-    return _index(t)[1]
+    return R.idf(_present(t), t.documents.count())
 
 
 @query(f"WITH {_LEXICAL} SELECT item_id, doc_id, CAST(score AS DOUBLE) AS score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5")
 def lexical_topk(t: Tables) -> DataFrame:
-    posts, weights = _index(t)
-    exact = weights.withColumn("idf", F.col("idf").cast("decimal(18,6)"))
-    return R.top_k(R.lexical_scores(t.benchmark, "item_id", "text", posts, exact, "doc_id"), "item_id", "doc_id", 5).withColumn("score", F.col("score").cast("double"))
+    return R.top_k(_lexical(t), "item_id", "doc_id", 5).withColumn("score", F.col("score").cast("double"))
 
 
 _VECTOR = """v AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, q.label AS own, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score FROM embeddings q CROSS JOIN embeddings e WHERE q.vec_id % 50 = 0)"""
