@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.common import TOKEN_BYTES, Scratch, chunks, lists, only, table, utf8
+from tessera.llm.common import TOKEN_BYTES, Scratch, chunks, drop_caches, lists, only, table, utf8
 from tessera.llm.op3_token_files import END_ID, with_ends
 from tessera.llm.tokens import crc, encoder, vocabulary
 
@@ -95,6 +95,7 @@ def pack(pieces: DataFrame, n_pieces: int, sequence: int = SEQUENCE, open_bins:
     dealt = pieces.repartition(tasks, "row").sortWithinPartitions(pieces.length.desc(), "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()  # vocabularies are done with
         part, bins = TaskContext.get().partitionId(), BestFit(sequence, open_bins)
         for b in batches:
             placed = [bins.place(n) for n in b.column("length").to_pylist()]

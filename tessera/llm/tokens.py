@@ -76,19 +76,20 @@ class Encoder:
         """A thousand plain words are encoded as one text and cut after each closing symbol, others one by one."""
         plain = [w for w in pieces if PLAIN.fullmatch(w)]
         other = [w for w in pieces if not PLAIN.fullmatch(w)] if len(plain) < len(pieces) else []
-        groups = [plain[i : i + 1000] for i in range(0, len(plain), 1000)]
-        for group, e in zip(groups, self.tok.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4")
+        for i in range(0, len(plain), 1000):
+            group = plain[i : i + 1000]
+            ids = np.array(self.tok.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, "<u4")
             ends = (np.flatnonzero(self.closing[ids]) + 1).tolist()
             if len(ends) == len(group):
-                raw, i = ids.tobytes(), 0
+                raw, begin = ids.tobytes(), 0
                 for w, j in zip(group, ends):
-                    self.piece[w] = raw[4 * i : 4 * j]
-                    i = j
+                    self.piece[w] = raw[4 * begin : 4 * j]
+                    begin = j
             else:
                 other += group
-        for w, e in zip(other, self.tok.encode_batch_fast(other, add_special_tokens=False)):
-            self.piece[w] = array("I", e.ids).tobytes()
+        for i in range(0, len(other), 1000):  # an encoding takes far more memory than its ids
+            for w, e in zip(other[i : i + 1000], self.tok.encode_batch_fast(other[i : i + 1000], add_special_tokens=False)):
+                self.piece[w] = array("I", e.ids).tobytes()
 
     def look_up(self, pieces: list[str]) -> list[bytes]:
         """The ids of each piece; new ones are learned."""
