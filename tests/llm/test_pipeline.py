@@ -34,3 +34,42 @@ def test_stages(spark):
             assert not any(i and i in norm(r.text) for r in after.collect() for i in items)
         before = after
     assert corpus_pipeline.run(spark, SF).count() == before.count()
+
+
+def test_stages_on_odd_rows(spark, docs, empty):
+    """Nulls, empty and long texts, copies, rows of one id, and columns named like what the stages add."""
+    assert {"score", "leaks", "kept"} <= set(docs.columns)
+    rows = docs.unionByName(spark.createDataFrame([(9, "quite another text under an id that others have", "en", "s0", 3, 1, 1, 0.25, "t", 1, 1, 1, "x", "y")], docs.schema))
+    for table in (rows, empty):
+        before = table
+        for name, stage in corpus_pipeline.STAGES[1:]:
+            after = Scratch(spark, "test_odd").table(stage(spark, before, SF), name)
+            if name != "packing":
+                assert after.dtypes == table.dtypes
+            before = after
+        if table is empty:
+            assert after.count() == 0
+    kept = corpus_pipeline.near_duplicates(spark, rows, SF)
+    got = [(r.doc_id, r.text, r.score, r.leaks, r.kept) for r in kept.collect()]
+    assert sum(i == 9 and t == "one" for i, t, *_ in got) == 1 and sum(i == 9 and (t or "").startswith("quite") for i, t, *_ in got) == 1
+    assert sorted(i for i, t, *_ in got if not (t or "").strip() and i is not None) == [0, 3, 6]
+    assert {r[2:] for r in got} == {(0.5, "l", "k"), (0.25, "x", "y")}
+    base = [r.doc_id for r in rows.collect() if r.text and len(r.text.split()) == 200]
+    assert sum(i in base for i, *_ in got) < len(base)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077"})  # noqa: N815
+
+    import pytest
+
+    from tessera.llm.common import shared_dir
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(Session())
