@@ -30,7 +30,7 @@ def hierarchy_nodes(t: Tables) -> DataFrame:
 @query("""SELECT o_orderkey, array_to_string(list_filter([CASE WHEN c_custkey IS NULL THEN 'no customer' END, CASE WHEN n_nationkey IS NULL THEN 'no nation' END, CASE WHEN r_regionkey IS NULL OR r_regionkey = 3 THEN 'no region' END], lambda x: x IS NOT NULL), ';') AS messages
  FROM orders LEFT JOIN (FROM customer WHERE c_acctbal > -500) ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey""")
 def hierarchy_chain_check(t: Tables) -> DataFrame:
-    rows = t.orders.join(t.customer.where("c_acctbal > -500"), F.col("c_custkey") == F.col("o_custkey"), "left").join(F.broadcast(t.nation), F.col("n_nationkey") == F.col("c_nationkey"), "left").join(F.broadcast(t.region), F.col("r_regionkey") == F.col("n_regionkey"), "left")
+    rows = t.orders.join(t.customer.where("c_acctbal > -500"), F.col("c_custkey") == F.col("o_custkey"), "left").join(t.nation, F.col("n_nationkey") == F.col("c_nationkey"), "left").join(t.region, F.col("r_regionkey") == F.col("n_regionkey"), "left")
     out = G.chain_messages(rows, [("no customer", F.col("c_custkey").isNotNull()), ("no nation", F.col("n_nationkey").isNotNull()), ("no region", F.col("r_regionkey").isNotNull() & (F.col("r_regionkey") != 3))])
     return out.select("o_orderkey", F.array_join("messages", ";").alias("messages"))
 

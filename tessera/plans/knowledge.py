@@ -124,7 +124,7 @@ def inherit_parent_links(t: Tables) -> DataFrame:
  SELECT c_custkey, 'nation' AS conflict_type, n_name AS canonical_value, 'NATION_' || CAST(c_custkey % 25 AS VARCHAR) AS external_value FROM j WHERE n_name <> 'NATION_' || CAST(c_custkey % 25 AS VARCHAR)
  UNION ALL SELECT c_custkey, 'name', 'Supplier#' || lpad(CAST(c_custkey // 2 AS VARCHAR), 9, '0'), s_name FROM j WHERE s_name <> 'Supplier#' || lpad(CAST(c_custkey // 2 AS VARCHAR), 9, '0')""")
 def conflict_explode(t: Tables) -> DataFrame:
-    rows = t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey")).join(t.supplier, F.col("s_suppkey") == F.col("c_custkey"), "left")
+    rows = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).join(t.supplier, F.col("s_suppkey") == F.col("c_custkey"), "left")
     pairs = {
         "nation": (F.col("n_name"), F.concat(F.lit("NATION_"), (F.col("c_custkey") % 25).cast("string"))),
         "name": (F.concat(F.lit("Supplier#"), F.lpad(F.floor(F.col("c_custkey") / 2).cast("string"), 9, "0")), F.coalesce("s_name", F.lit(""))),
@@ -156,15 +156,16 @@ def set_ops_repair_plan(t: Tables) -> DataFrame:
     return sets.compared(t.documents, t.labels, "doc_id")
 
 
-@query("""WITH new AS (SELECT doc_id + CASE WHEN doc_id % 5 = 0 THEN 100000 ELSE 0 END AS doc_id, text, lang FROM documents WHERE doc_id % 2 = 0 OR doc_id % 5 = 0),
- old AS (SELECT doc_id, text, lang FROM documents WHERE doc_id % 3 = 0),
- s AS (SELECT *, sha256(coalesce(text, '') || '||' || coalesce(lang, '')) AS s, length(text) >= 20 AS ok FROM new), o AS (SELECT DISTINCT sha256(coalesce(text, '') || '||' || coalesce(lang, '')) AS s FROM old),
+@query("""WITH new AS (SELECT doc_id + 1 AS doc_id, text, lang FROM documents), old AS (SELECT doc_id, text, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)),
+ s AS (SELECT *, sha256(coalesce(text, '') || '||' || coalesce(lang, '')) AS s, coalesce(length(text) >= 20, false) AS ok FROM new), o AS (SELECT DISTINCT sha256(coalesce(text, '') || '||' || coalesce(lang, '')) AS s FROM old),
  r AS (SELECT s.*, row_number() OVER (PARTITION BY s.s, ok ORDER BY doc_id) AS nth FROM s)
  SELECT doc_id, CASE WHEN NOT ok THEN 'invalid' WHEN s IN (SELECT s FROM o) THEN 'known' WHEN nth > 1 THEN 'repeated' WHEN doc_id IN (SELECT doc_id FROM old) THEN 'id_taken' ELSE 'accepted' END AS outcome FROM r""")
 def additive_merge_strict(t: Tables) -> DataFrame:
+    """All documents, under the next id, merged into those that have labels."""
     d = t.documents.select("doc_id", "text", "lang")
-    new = d.where("doc_id % 2 = 0 or doc_id % 5 = 0").withColumn("doc_id", F.col("doc_id") + F.when(F.col("doc_id") % 5 == 0, 100000).otherwise(0))
-    return sets.additive(d.where("doc_id % 3 = 0"), new, ["text", "lang"], "doc_id", F.char_length("text") >= 20, ["doc_id"]).select("doc_id", "outcome")
+    old = d.join(t.labels.select("doc_id"), "doc_id", "left_semi")
+    new = d.withColumn("doc_id", F.col("doc_id") + 1)
+    return sets.additive(old, new, ["text", "lang"], "doc_id", F.char_length("text") >= 20, ["doc_id"]).select("doc_id", "outcome")
 
 
 @query("""SELECT user_id, arg_max(CASE WHEN event_type <> 'view' THEN event_type END, CASE WHEN event_type <> 'view' THEN event_id END) AS event_type, arg_max(props, event_id) AS props FROM events GROUP BY 1""")
@@ -183,11 +184,11 @@ def latest_wins(t: Tables) -> DataFrame:
     return windows.last_row(t.events.select("user_id", "event_id", "event_type"), ["user_id"], F.col("event_id"))
 
 
-@query("""SELECT CAST(coalesce(l.supp, r.supp) AS BIGINT) AS s, coalesce(r.total, l.total) AS total, CASE WHEN l.supp IS NULL THEN 'repair' WHEN r.supp IS NULL THEN 'old' ELSE 'old,repair' END AS sources
- FROM (SELECT l_suppkey AS supp, count(*) AS total FROM lineitem WHERE l_returnflag = 'A' AND l_suppkey % 3 > 0 GROUP BY 1) l FULL JOIN (SELECT l_suppkey AS supp, count(*) AS total FROM lineitem WHERE l_returnflag = 'R' AND l_suppkey % 4 > 0 GROUP BY 1) r ON l.supp = r.supp""")
+@query("""SELECT coalesce(a.k, r.k) AS k, coalesce(r.total, a.total) AS total, CASE WHEN a.k IS NULL THEN 'repair' WHEN r.k IS NULL THEN 'old' ELSE 'old,repair' END AS sources
+ FROM (SELECT l_orderkey AS k, count(*) AS total FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1) a FULL JOIN (SELECT l_orderkey AS k, count(*) AS total FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) r ON a.k = r.k""")
 def merged_source_rows(t: Tables) -> DataFrame:
-    side = lambda flag, mod: t.lineitem.where(f"l_returnflag = '{flag}' and l_suppkey % {mod} > 0").groupBy(F.col("l_suppkey").alias("s")).agg(F.count("*").alias("total"))
-    return match.merged_sources(side("A", 3), side("R", 4), "s").withColumn("sources", F.array_join("sources", ","))
+    side = lambda flag: t.lineitem.where(F.col("l_returnflag") == flag).groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").alias("total"))
+    return match.merged_sources(side("A"), side("R"), "k").withColumn("sources", F.array_join("sources", ","))
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, sha1(CAST(l_orderkey AS VARCHAR) || '||' || CAST(l_partkey AS VARCHAR) || '||') AS h FROM lineitem""")

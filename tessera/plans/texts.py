@@ -15,23 +15,14 @@ def _tokens(c: str, least: int = 2) -> str:
     return f"list_filter(regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9]+'), lambda t: length(t) >= {least} AND t NOT IN ({_STOP}))"
 
 
-def _ascii(rows: DataFrame) -> DataFrame:
-    """Rows whose text is ASCII, all that some queries' SQL covers; their twins named ..._all_rows take every row."""
-    return rows.where(~F.col("text").rlike(r"[^\x00-\x7F]"))
+#: Blanks, and characters of words, as RE2 classes.
+_BLANKS = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_NO_WORD = r"[^\p{L}\p{Nl}\p{M}\p{Nd}\p{Pc}\x{200C}\x{200D}]+"
 
 
-@query("""SELECT doc_id, md5(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))) AS collapsed, md5(trim(lower(regexp_replace(text, '[^A-Za-z0-9]+', '-', 'g')), '-')) AS slug, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS plain_key FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')""")
+@query(f"""SELECT doc_id, md5(trim(regexp_replace(coalesce(text, ''), '{_BLANKS}', ' ', 'g'))) AS collapsed, md5(trim(regexp_replace(lower(replace(coalesce(text, ''), '_', '-')), '{_NO_WORD}', '-', 'g'), '-')) AS slug, regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', '', 'g') AS plain_key FROM documents""")
 def normalized_text(t: Tables) -> DataFrame:
-    return _normalized(_ascii(t.documents))
-
-
-@query(None)
-def normalized_text_all_rows(t: Tables) -> DataFrame:
-    return _normalized(t.documents)
-
-
-def _normalized(rows: DataFrame) -> DataFrame:
-    return rows.select("doc_id", F.md5(X.collapse("text").cast("binary")).alias("collapsed"), F.md5(X.slug(F.regexp_replace("text", "_", "-")).cast("binary")).alias("slug"), X.key("text").alias("plain_key"))
+    return t.documents.select("doc_id", F.md5(X.collapse("text").cast("binary")).alias("collapsed"), F.md5(X.slug(F.regexp_replace("text", "_", "-")).cast("binary")).alias("slug"), X.key("text").alias("plain_key"))
 
 
 @query("""SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', ' ', 'gis'), '<style[^>]*>.*?</style>', ' ', 'gis'), '<!--.*?-->', ' ', 'gs'), '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) AS plain FROM pages""")
@@ -57,18 +48,9 @@ def first_rule_buckets(t: Tables) -> DataFrame:
     return t.documents.groupBy(X.first_rule("text", _RULES, "other").alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query(f"""SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+')) AS BIGINT) AS n, array_to_string(list_sort(list_distinct({_tokens('text', 3)}))[1:16], ' ') AS terms FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')""")
+@query(f"""SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[\\x{{4E00}}-\\x{{9FFF}}]|[A-Za-z0-9]+')) AS BIGINT) AS n, array_to_string(list_sort(list_distinct({_tokens('text', 3)}))[1:16], ' ') AS terms FROM documents""")
 def token_counts_and_terms(t: Tables) -> DataFrame:
-    return _counts_and_terms(_ascii(t.documents))
-
-
-@query(None)
-def token_counts_and_terms_all_rows(t: Tables) -> DataFrame:
-    return _counts_and_terms(t.documents)
-
-
-def _counts_and_terms(rows: DataFrame) -> DataFrame:
-    return rows.select("doc_id", X.token_count("text").cast("bigint").alias("n"), F.array_join(X.query_terms("text"), " ").alias("terms"))
+    return t.documents.select("doc_id", X.token_count("text").cast("bigint").alias("n"), F.array_join(X.query_terms("text"), " ").alias("terms"))
 
 
 @query("""SELECT doc_id, place, md5(line) AS line FROM (SELECT doc_id, CAST(generate_subscripts(l, 1) AS BIGINT) AS place, unnest(l) AS line FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s)), lambda s: s <> '') AS l FROM documents))""")
@@ -124,20 +106,11 @@ def near_duplicate_turns(t: Tables) -> DataFrame:
     return match.near_pairs(t.conversations, ["conv_id", "role"], "turn", F.round(measure.ratio(F.col("a.text"), F.col("b.text")), 6), 0.1)
 
 
-@query("""SELECT a.conv_id, a.role, a.turn AS turn_a, b.turn AS turn_b, CAST(1 - levenshtein(a.text, b.text) / greatest(length(a.text), length(b.text)) AS DOUBLE) AS similarity FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.role = b.role AND a.turn < b.turn WHERE length(a.text) + length(b.text) > 0 AND NOT regexp_matches(a.text || b.text, '[^\\x00-\\x7F]') AND 1 - levenshtein(a.text, b.text) / greatest(length(a.text), length(b.text)) >= 0.25""")
-def near_duplicate_turns_by_edits(t: Tables) -> DataFrame:
-    return _near_by_edits(_ascii(t.conversations))
-
-
 @query(None)
-def near_duplicate_turns_by_edits_all_rows(t: Tables) -> DataFrame:
-    return _near_by_edits(t.conversations)
-
-
-def _near_by_edits(rows: DataFrame) -> DataFrame:
+def near_duplicate_turns_by_edits(t: Tables) -> DataFrame:
     a, b = F.col("a.text"), F.col("b.text")
     similarity = F.when(F.length(a) + F.length(b) > 0, 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)))
-    return match.near_pairs(rows, ["conv_id", "role"], "turn", similarity, 0.25)
+    return match.near_pairs(t.conversations, ["conv_id", "role"], "turn", similarity, 0.25)
 
 
 @query(None)

@@ -65,7 +65,7 @@ def test_normalized_text_of_all_rows(spark, odd_texts):
         t = r.text or ""
         slug = re.sub("-+", "-", "".join(c if in_word(c) else "-" for c in t.lower())).strip("-")
         want.append((r.doc_id, md5(re.sub(blank, " ", t).strip(" ")), md5(slug), re.sub("[^a-z0-9]", "", t.lower())))
-    got = QUERIES["normalized_text_all_rows"](spark, odd_texts).select("doc_id", "collapsed", "slug", "plain_key").collect()
+    got = QUERIES["normalized_text"](spark, odd_texts).select("doc_id", "collapsed", "slug", "plain_key").collect()
     assert sorted(map(tuple, got)) == sorted(want)
 
 
@@ -75,7 +75,7 @@ def test_token_counts_and_terms_of_all_rows(spark, odd_texts):
         t = r.text or ""
         terms = sorted({w for w in re.findall("[a-z0-9]+", t.lower()) if len(w) >= 3 and w not in STOPWORDS})[:16]
         want.append((r.doc_id, len(re.findall("[\u4e00-\u9fff]|[A-Za-z0-9]+", t)), " ".join(terms)))
-    got = QUERIES["token_counts_and_terms_all_rows"](spark, odd_texts).select("doc_id", "n", "terms").collect()
+    got = QUERIES["token_counts_and_terms"](spark, odd_texts).select("doc_id", "n", "terms").collect()
     assert sorted(map(tuple, got)) == sorted(want)
 
 
@@ -96,7 +96,7 @@ def test_near_duplicate_turns_of_all_rows(spark, odd_texts):
         for (i, a), (j, b) in combinations(sorted(rows, key=lambda x: x[0]), 2):
             if i < j and a is not None and b is not None and a + b and (s := 1 - edits(a, b) / max(len(a), len(b))) >= 0.25:
                 want[c, role, i, j] = s
-    got = {(r.conv_id, r.role, r.turn_a, r.turn_b): r.similarity for r in QUERIES["near_duplicate_turns_by_edits_all_rows"](spark, odd_texts).where("conv_id % 20 = 0 or conv_id < 0").collect()}
+    got = {(r.conv_id, r.role, r.turn_a, r.turn_b): r.similarity for r in QUERIES["near_duplicate_turns_by_edits"](spark, odd_texts).where("conv_id % 20 = 0 or conv_id < 0").collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got) and any(k[0] == -1 for k in got)
 
 
