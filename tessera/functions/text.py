@@ -123,6 +123,34 @@ def tokens(c: Column | str, least: int = 2, stop: Sequence[str] = STOPWORDS) ->
     return F.filter(found, lambda t: (F.length(t) >= least) & ~t.isin(*stop)) if stop else F.filter(found, lambda t: F.length(t) >= least)
 
 
+#: Words, and page furniture, that retrieval over chunks leaves out.
+RETRIEVAL_STOPWORDS = (
+    "the", "a", "an", "and", "or", "of", "to", "in", "on", "for", "with", "by", "from", "at", "as", "is", "are", "was", "were", "be", "been", "being", "this", "that",
+    "these", "those", "it", "its", "into", "than", "then", "their", "them", "they", "he", "she", "his", "her", "you", "your", "we", "our", "but", "if", "not", "do", "does",
+    "did", "which", "what", "when", "where", "who", "whom", "how", "why", "can", "could", "should", "would", "may", "might", "about", "under", "over", "between", "during",
+    "also", "only", "using", "use", "used", "within", "most", "more", "less", "very", "bird", "birds", "species", "target", "provided", "text", "based", "describe", "identify",
+    "close", "share", "print", "photo", "video",
+)
+
+
+def retrieval_tokens(c: Column | str, least: int = 2) -> Column:
+    """Runs of a-z, 0-9, hyphens, bars and apostrophes (curly ones made straight) in lower case, without words that retrieval leaves out."""
+    found = F.regexp_extract_all(F.lower(F.replace(text(c), F.lit("’"), F.lit("'"))), F.lit("[a-z0-9'|-]+"), F.lit(0))
+    return F.filter(found, lambda t: (F.length(t) >= least) & ~t.isin(*RETRIEVAL_STOPWORDS))
+
+
+#: What retrieval cuts from chunks: photo and video marks, figures, plates, (Author et al., 1999), [12, 13].
+CHUNK_MARKS = (r"(?i)\b(?:photo|video)\b", r"\(?[Ff]ig\.?\s*\d+\)?", r"\(?[Pp]late\s*\d+\)?", r"\([A-Z][a-z]+(?: et al\.)?,\s*\d{4}\)", r"\[\d+(?:,\s*\d+)*\]")
+
+
+def without_marks(c: Column | str) -> Column:
+    """The text of a chunk without marks and citations, runs of blanks as one space."""
+    out = text(c)
+    for p in CHUNK_MARKS:
+        out = F.regexp_replace(out, p, "")
+    return F.trim(F.regexp_replace(out, r"(?U)\s{2,}", " "))
+
+
 def query_terms(c: Column | str, most: int = 16) -> Column:
     return F.slice(F.array_sort(F.array_distinct(tokens(c, 3))), 1, most)
 

@@ -20,6 +20,8 @@ class Tables:
 
 def query(sql: str | None) -> Callable:
     def register(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+        if f.__name__ in QUERIES:
+            raise ValueError(f"{f.__name__} is registered twice")
         QUERIES[f.__name__] = lambda spark, folder: f(Tables(spark, folder))
         if sql:
             SQL[f.__name__] = sql

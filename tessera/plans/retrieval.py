@@ -12,9 +12,16 @@ from tessera.operators import tables as T
 from tessera.plans.registry import Tables, query
 from tessera.plans.texts import _tokens
 
-_IDF = f"""k AS (SELECT doc_id, {_tokens('text')} AS t FROM documents), p AS (SELECT doc_id, token, len(any_value(t)) AS n, count(*) AS tf FROM (SELECT doc_id, t, unnest(t) AS token FROM k) GROUP BY 1, 2),
+_LEFT_OUT = ", ".join(f"'{w}'" for w in X.RETRIEVAL_STOPWORDS)
+
+
+def _words(c: str) -> str:
+    return f"list_filter(regexp_extract_all(lower(replace(coalesce({c}, ''), '’', '''')), '[a-z0-9''|-]+'), lambda t: length(t) > 1 AND t NOT IN ({_LEFT_OUT}))"
+
+
+_IDF = f"""k AS (SELECT doc_id, {_words('text')} AS t FROM documents), p AS (SELECT doc_id, token, len(any_value(t)) AS n, count(*) AS tf FROM (SELECT doc_id, t, unnest(t) AS token FROM k) GROUP BY 1, 2),
  i AS (SELECT token, count(*) AS df, round(ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + count(*))) + 1, 6) AS idf FROM p GROUP BY 1)"""
-_LEXICAL = _IDF + f""", q AS (SELECT DISTINCT item_id, unnest({_tokens('text')}) AS token FROM benchmark), s AS (SELECT item_id, doc_id, round(sum(CAST(idf AS DECIMAL(18, 6))) - CASE WHEN max(n) < 12 THEN 3 ELSE 0 END, 4) AS score FROM q JOIN i USING (token) JOIN p USING (token) GROUP BY 1, 2)"""
+_LEXICAL = _IDF + f""", q AS (SELECT DISTINCT item_id, unnest({_words('text')}) AS token FROM benchmark), s AS (SELECT item_id, doc_id, round(sum(CAST(idf AS DECIMAL(18, 6))) - CASE WHEN max(n) < 12 THEN 3 ELSE 0 END, 4) AS score FROM q JOIN i USING (token) JOIN p USING (token) GROUP BY 1, 2)"""
 
 
 def _present(t: Tables) -> DataFrame:
