@@ -20,6 +20,26 @@ def cap_phenomenon(rows: DataFrame, cap: str, value: str) -> DataFrame:
     return out.withColumn("share_at", safe_div(F.col("at"), F.col("rows")))
 
 
+def group_caps(rows: DataFrame, group: str, value: str, cap: str) -> DataFrame:
+    """group, rows, total, mean, rows at the cap or above, exactly at it, above it, and the share at it; caps of 0 are none."""
+    v, c = F.col(value), F.col(cap)
+    counts = {"rows": F.count("*"), "total": F.sum(v), "at": F.count_if((c > 0) & (v >= c)), "exactly": F.count_if((c > 0) & (v == c)), "above": F.count_if((c > 0) & (v > c))}
+    out = rows.where(F.col(group) != "").groupBy(group).agg(*(x.alias(k) for k, x in counts.items()))
+    return out.select("*", F.round(safe_div(F.col("total"), F.col("rows")), 6).alias("mean"), F.round(safe_div(F.col("at"), F.col("rows")), 6).alias("share_at"))
+
+
+def overview(parts: Sequence[tuple[DataFrame, str, dict[str, str]]], item: str, model: str) -> DataFrame:
+    """item, group, model, metric, score: of each part (rows, group, metric by item) the metric chosen for the item, two decimals as text."""
+    out = None
+    for rows, group, metrics in parts:
+        value, name = F.lit(None).cast("double"), F.lit(None).cast("string")
+        for k, m in metrics.items():
+            value, name = F.when(F.col(item) == k, F.col(m).cast("double")).otherwise(value), F.when(F.col(item) == k, m).otherwise(name)
+        part = rows.where(F.col(item).isin(*metrics)).select(item, F.lit(group).alias("group"), model, name.alias("metric"), F.coalesce(F.format_string("%.2f", value), F.lit("")).alias("score"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def review_summary(reviews: DataFrame, status: str, positive: Column, chapter: str) -> DataFrame:
     """chapter (null: all), ok, errors, positive: both levels in one pass."""
     ok = F.col(status) == "ok"
