@@ -75,10 +75,11 @@ def document(spark: SparkSession, value: object, path: str) -> None:
 
 
 def markdown(df: DataFrame, most: int = 1000) -> str:
-    """A small table as Markdown; a report, so its rows have a limit."""
-    rows = df.limit(most).collect()
+    """A small table as Markdown; a report, so its rows have a limit, and a last line says so where there are more."""
+    rows = df.limit(most + 1).collect()
     line = lambda xs: "| " + " | ".join(str("" if x is None else x).replace("|", "\\|").replace("\n", " ") for x in xs) + " |"
-    return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *map(line, rows)])
+    more = [f"\nOnly the first {most} rows are shown."] if len(rows) > most else []
+    return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *map(line, rows[:most]), *more])
 
 
 def upsert(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:

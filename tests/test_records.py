@@ -49,3 +49,11 @@ def test_representatives(spark):
 def test_answers_without_scores(spark):
     answers, scores = spark.createDataFrame([(1, "m"), (2, "m"), (3, "n")], "q int, model string"), spark.createDataFrame([(1, 7.126, 1), (9, 1.0, 0)], "q int, score double, invalid int")
     assert sorted(map(tuple, records.answer_summary(answers, scores, "q", ["model"], "score", "invalid").collect())) == [("m", 2, 1, 1, 7.13), ("n", 1, 0, 0, 0.0)]
+
+
+def test_markdown_says_what_it_leaves_out(spark):
+    from tessera.sources import sinks
+
+    rows = spark.range(3)
+    assert sinks.markdown(rows, 3) == "| id |\n| --- |\n| 0 |\n| 1 |\n| 2 |"
+    assert sinks.markdown(rows.orderBy("id"), 2) == "| id |\n| --- |\n| 0 |\n| 1 |\n\nOnly the first 2 rows are shown."
